@@ -89,10 +89,11 @@ def _range_keys(value: np.ndarray, first: np.ndarray, level: np.ndarray, percent
         total = np.add.reduceat(K.mix(value ^ K.U64(0x5851F42D4C957F2D)), at) if len(at) else value[:0]
         place = K.mix((level[doc[at]].astype(K.U64) << K.U64(40)) + part[at] + K.U64(1))
         keys, owner = K.combine(place, total), doc[at]
+        parts, holder = part[at].astype(np.int64), owner
         # more empty ranges than spare ones: two such sets may agree on empty ranges only
         filled = np.bincount(owner, minlength=len(size))
         for d in np.flatnonzero((size > 0) & (m - filled > SPARE)).tolist():
-            empty = np.setdiff1d(np.arange(m[d]), part[at][owner == d].astype(np.int64))
+            empty = np.setdiff1d(np.arange(m[d]), parts[holder == d])
             place = K.mix((K.U64(level[d]) << K.U64(40)) + empty.astype(K.U64) + K.U64(1))
             keys = np.concatenate([keys, K.mix(place)])
             owner = np.concatenate([owner, np.full(len(empty), d)])
