@@ -38,6 +38,8 @@ WINDOW = 35
 GRAM = 8
 #: Contexts of one anchor that go to one shard.
 SALT_ROWS = 2048
+#: Occurrences in one batch from which an anchor's rows stand apart.
+HOT = 32
 #: Contexts compiled into one automaton; bounds its memory.
 SHARD_ROWS = 12_000
 
@@ -51,67 +53,95 @@ def _window_anchors(words: K.Words, window: int, gram: int) -> tuple[np.ndarray,
     return start[whole], at[whole], grams
 
 
-def _anchor_rows(window: int, gram: int):
+PLAIN, APART, NOTICE = range(3)
+
+
+def _anchor_rows(window: int, gram: int, hot: int):
+    """Anchor occurrences, by a key that groups them.
+
+    The key is the anchor's hash; but an anchor seen ``hot`` times or more in
+    one batch is known to recur: its rows stand apart under a key of their own,
+    and one notice goes to the anchor's key.  So a hot anchor brings less than
+    ``hot`` rows a batch to its key.
+    """
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = K.text_bytes(batch.column("text"))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            parts = []
             for low, high in K.doc_blocks(offs):
                 words = K.split_words(data[offs[low] : offs[high]], offs[low : high + 1] - offs[low])
                 _, at, grams = _window_anchors(words, window, gram)
                 at = at[np.diff(at, prepend=-1) != 0]
-                if len(at):
-                    doc = words.doc[at]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(K.signed(grams[at])), pa.array(ids[low + doc]), pa.array((at - words.first[doc]).astype(np.int32))],
-                        ["anchor", "doc_id", "pos"],
-                    )
+                doc = words.doc[at]
+                parts.append((grams[at], ids[low + doc], (at - words.first[doc]).astype(np.int32)))
+            if not parts or not sum(len(p[0]) for p in parts):
+                continue
+            key, doc, pos = (np.concatenate(p) for p in zip(*parts, strict=True))
+            new, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+            apart = count[inverse] >= hot
+            seed = K.mix(np.array([int(doc[0]) + 1], np.int64).view(K.U64))  # another one for each batch
+            known = new[count >= hot]
+            n = len(known)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(K.signed(np.concatenate([np.where(apart, K.combine(key, np.broadcast_to(seed, key.shape)), key), known]))),
+                    pa.array(np.concatenate([np.where(apart, APART, PLAIN), np.full(n, NOTICE)]).astype(np.int32)),
+                    pa.array(np.concatenate([doc, np.zeros(n, doc.dtype)])),
+                    pa.array(np.concatenate([pos, np.zeros(n, np.int32)])),
+                ],
+                ["key", "kind", "doc_id", "pos"],
+            )
 
     return rows
 
 
 def _recurring(salt_rows: int):
-    """Of rows sorted by anchor, those whose anchor occurs twice or more, dealt over salts.
+    """Of rows sorted by key, those whose anchor occurs twice or more, dealt over salts.
 
-    Streams: at most ``salt_rows`` rows of one anchor are held back.
+    Streams: at most ``salt_rows`` rows of one key are held back.  ``split``
+    rows belong to an anchor that has rows elsewhere too.
     """
 
     def emit(table: pa.Table, before: int) -> Iterator[pa.RecordBatch]:
-        """``before``: rows of the leading anchor that went out earlier."""
+        """``before``: rows of the leading key that went out earlier."""
         if not table.num_rows:
             return
-        anchor = table.column("anchor").to_numpy()
-        new = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-        size = np.diff(np.append(new, len(anchor)))
-        rank = np.arange(len(anchor)) - np.repeat(new, size)
+        key, kind = table.column("key").to_numpy(), table.column("kind").to_numpy()
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(new, len(key)))
+        rank = np.arange(len(key)) - np.repeat(new, size)
+        noticed = np.repeat(kind[new] != PLAIN, size)  # notices are sorted first
         size = np.repeat(size, size)
-        lead = anchor == anchor[0]
+        lead = key == key[0]
         rank[lead] += before
         size[lead] += before
-        keep = size > 1
+        keep = (size > 1) & (kind != NOTICE)
         if keep.any():
             part = table.filter(pa.array(keep)).combine_chunks()
+            salt = rank[keep] // salt_rows + np.where(kind[keep] == APART, (key[keep] & 0x3FFFFFFF) + 1, 0)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").combine_chunks(), part.column("pos").combine_chunks(), pa.array((rank[keep] // salt_rows).astype(np.int32)), pa.array(size[keep] > salt_rows)],
+                [part.column("doc_id").combine_chunks(), part.column("pos").combine_chunks(), pa.array(salt.astype(np.int32)), pa.array((size[keep] > salt_rows) | noticed[keep])],
                 ["doc_id", "pos", "salt", "split"],
             )
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None  # rows of the last anchor that wait
-        last, sent = None, 0  # rows of the last anchor that went out
+        held: pa.Table | None = None  # rows of the last key that wait
+        last, sent = None, 0  # rows of the last key that went out
         for batch in batches:
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch])
             table = pa.concat_tables([held, table]).combine_chunks() if held is not None else table
-            anchor = table.column("anchor").to_numpy()
-            if anchor[0] != last:
+            key = table.column("key").to_numpy()
+            if key[0] != last:
                 sent = 0
-            tail = int(np.searchsorted(anchor, anchor[-1]))
+            tail = int(np.searchsorted(key, key[-1]))
             if tail:
                 yield from emit(table.slice(0, tail), sent)
                 sent = 0
-            held, last = table.slice(tail), anchor[-1]
+            held, last = table.slice(tail), key[-1]
             if held.num_rows + sent > salt_rows:
                 yield from emit(held, sent)
                 sent += held.num_rows
@@ -252,7 +282,7 @@ def _located(kind: int, doc: np.ndarray, start: np.ndarray, h1: np.ndarray, h2:
     )
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, salt_rows: int = SALT_ROWS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, salt_rows: int = SALT_ROWS, shard_rows: int = SHARD_ROWS, hot: int = HOT) -> DataFrame:
     """``(doc_id, start)`` of windows that together cover all recurring ones.
 
     ``start`` counts words; each row stands for ``window`` words from there.
@@ -260,8 +290,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, sa
     if not 1 <= gram <= window or window < 2:
         raise ValueError("gram must be between 1 and window, window at least 2")
     docs = documents(docs)
-    anchors = docs.mapInArrow(_anchor_rows(window, gram), "anchor long, doc_id long, pos int")
-    recurring = anchors.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_recurring(salt_rows), "doc_id long, pos int, salt int, split boolean")
+    anchors = docs.mapInArrow(_anchor_rows(window, gram, hot), "key long, kind int, doc_id long, pos int")
+    recurring = anchors.repartition("key").sortWithinPartitions("key", F.desc("kind")).mapInArrow(_recurring(salt_rows), "doc_id long, pos int, salt int, split boolean")
     hits = recurring.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "salt", "split"))).alias("hits"))
     contexts = docs.join(hits, "doc_id").select("doc_id", "text", "hits").mapInArrow(_context_rows(window, gram), "anchor long, salt int, split boolean, doc_id long, first int, context binary")
     found = materialise(contexts.repartition("anchor", "salt").mapInArrow(_locate(window, shard_rows), "kind int, doc_id long, start int, h1 long, h2 long"), "op1-located")
