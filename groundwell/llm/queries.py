@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import op1_substring, op8_jaccard
+from . import op1_substring, op2_tokens, op5_bpe, op8_jaccard
 
 QUERIES = {
     "op1_substring_dedup": op1_substring.query,
+    "op2_token_binary": op2_tokens.query,
+    "op5_byte_bpe": op5_bpe.query,
     "op8_ngram_jaccard_join": op8_jaccard.query,
 }
 
