@@ -269,7 +269,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     groups = connected_components(stars)
     sizes = groups.groupBy("component").agg((F.floor((F.count("*") - 1) / chunk) + 1).cast("int").alias("tiles"))
     inside = groups.join(sizes, "component").select(F.col("id").alias("doc_id"), "component", "tiles")
-    tokens = docs.join(inside, "doc_id").select("doc_id", "component", "tiles", "text").mapInArrow(_token_rows(size), "doc_id long, component long, tiles int, tokens array<long>")
+    tokens = docs.join(inside.hint("merge"), "doc_id")  # the same plan at every size
+    tokens = tokens.select("doc_id", "component", "tiles", "text").mapInArrow(_token_rows(size), "doc_id long, component long, tiles int, tokens array<long>")
     own = F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")
     tiled = tokens.withColumn("own", own).select("doc_id", "component", "tokens", "own", F.explode(F.expr("sequence(0, tiles - 1)")).alias("other"))
     tiled = tiled.select("doc_id", "component", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "tokens")
