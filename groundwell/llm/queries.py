@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import op1_substring, op2_tokens, op5_bpe, op8_jaccard
+from . import op1_substring, op2_tokens, op4_language, op5_bpe, op6_decontaminate, op7_quality, op8_jaccard, op9_secrets
 
 QUERIES = {
     "op1_substring_dedup": op1_substring.query,
     "op2_token_binary": op2_tokens.query,
+    "op4_language_id": op4_language.query,
     "op5_byte_bpe": op5_bpe.query,
+    "op6_decontamination": op6_decontaminate.query,
+    "op7_quality": op7_quality.query,
     "op8_ngram_jaccard_join": op8_jaccard.query,
+    "op9_secret_scan": op9_secrets.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_decontamination": op6_decontaminate.ORACLE}
