@@ -207,6 +207,26 @@ def predict(docs: DataFrame, model: LanguageModel | None, gap: float = GAP) -> D
     return docs.withColumn("has_letter", has_letter()).mapInArrow(_predict_rows(model, gap), "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
+def identified(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
+    """The rows of ``docs``, all columns, whose prediction is not ``und``.
+
+    Without a model nothing can be rejected but texts without a letter.
+    """
+    lettered = docs.where(has_letter())
+    if model is None:
+        return lettered
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = K.text_bytes(batch.column("text"))
+            for low, high in K.doc_blocks(offs):
+                best, _, _ = model.decode(model.margins(data[offs[low] : offs[high]], offs[low : high + 1] - offs[low]))
+                named = np.array([model.languages[k] != "und" for k in best.tolist()])
+                yield batch.slice(low, high - low).filter(pa.array(named))
+
+    return lettered.mapInArrow(rows, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = read_table(spark, sf_dir, "documents")

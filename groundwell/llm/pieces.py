@@ -193,10 +193,8 @@ class PieceCoder:
         n = len(start) - 1
         if len(self.begin) > 4 * self.SLOTS:
             self.reset()
-        up, down = K._POWERS.upto(len(data) + 1)
+        total, down = K.prefix_sums(data)
         with np.errstate(over="ignore"):
-            total = np.zeros(len(data) + 1, K.U64)
-            np.cumsum((data.astype(K.U64) + K.U64(1)) * up[: len(data)], out=total[1:])
             key = K.mix((total[start[1:]] - total[start[:-1]]) * down[start[:-1]] + (start[1:] - start[:-1]).astype(K.U64) * K.U64(0xD1B54A32D192ED03)) | K.U64(1)
         slot = (key >> K.U64(45)).astype(np.int64)
         entry = self.entry[slot]

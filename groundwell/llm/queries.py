@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from . import op1_substring, op2_tokens, op4_language, op5_bpe, op6_decontaminate, op7_quality, op8_jaccard, op9_secrets
+import corpus_pipeline
+
+from . import op1_substring, op2_tokens, op3_embeddings, op4_language, op5_bpe, op6_decontaminate, op7_quality, op8_jaccard, op9_secrets, op10_toxicity
 
 QUERIES = {
     "op1_substring_dedup": op1_substring.query,
     "op2_token_binary": op2_tokens.query,
+    "op3_embedding_near_dedup": op3_embeddings.query,
     "op4_language_id": op4_language.query,
     "op5_byte_bpe": op5_bpe.query,
     "op6_decontamination": op6_decontaminate.query,
     "op7_quality": op7_quality.query,
     "op8_ngram_jaccard_join": op8_jaccard.query,
     "op9_secret_scan": op9_secrets.query,
+    "op10_toxicity": op10_toxicity.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {"op6_decontamination": op6_decontaminate.ORACLE}

@@ -82,6 +82,16 @@ def doc_blocks(offs: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int
         low = high
 
 
+def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums with which ``(sums[b] - sums[a]) * down[a]`` hashes the bytes from a to b."""
+    n = len(data)
+    up, down = _POWERS.upto(n + 1)
+    sums = np.zeros(n + 1, dtype=U64)
+    with np.errstate(over="ignore"):
+        np.cumsum((data.astype(U64) + U64(1)) * up[:n], out=sums[1:])
+    return sums, down
+
+
 @dataclass
 class Words:
     start: np.ndarray  #: byte offset in the block
@@ -111,10 +121,8 @@ def split_words(data: np.ndarray, offs: np.ndarray, sep: np.ndarray = WHITE_SPAC
     end = np.flatnonzero(inside & ~after) + 1
     first = np.searchsorted(start, offs)
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(first))
-    up, down = _POWERS.upto(n + 1)
+    total, down = prefix_sums(data)
     with np.errstate(over="ignore"):
-        total = np.zeros(n + 1, dtype=U64)
-        np.cumsum((data.astype(U64) + U64(1)) * up[:n], out=total[1:])
         value = (total[end] - total[start]) * down[start]
         value = mix(value + (end - start).astype(U64) * U64(0xD1B54A32D192ED03))
     return Words(start, end, doc, first, value)
