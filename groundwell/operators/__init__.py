@@ -1,4 +1,6 @@
-"""Registry of the relational query pack."""
+"""The relational query pack: one builder and one oracle for every query."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import aggregates, filters, integrity, joins, measures, setops, windows
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "aggregates", "filters", "integrity", "joins", "measures", "setops", "windows"]
