@@ -5,7 +5,8 @@ that the one before kept:
 
 1. ``language``: documents without an identifiable language go (no text or no
    letter); everything else stays, whatever its language.
-2. ``near_duplicates``: one document, the least doc_id, of each group stays.
+2. ``near_duplicates``: one document, the least doc_id, of each group stays
+   (five-word shingles, similarity 0.8 or more).
 3. ``decontamination``: documents with a benchmark window go.
 4. ``secrets``: secret spans are replaced by a mask, and n_chars follows.
 5. ``tokens``: ids of every document.

@@ -50,6 +50,9 @@ FRAME_BYTES = 1 << 17
 #: Level of the data frames.
 LEVEL = 1
 
+#: Pieces that are encoded in one text.
+LINES = 2000
+
 SKIPPABLE = 0x184D2A5E
 DIRECTORY = 0x184D2A50
 SEEKABLE = 0x8F92EAB1
@@ -66,8 +69,28 @@ def coder(path: str) -> PieceCoder:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
 
-    def encode(pieces: list[bytes]) -> list:
-        return [e.ids for e in tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+    (line_end,) = tokenizer.encode("\n", add_special_tokens=False).ids
+
+    def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Many pieces to a text, a line end after each: it is a piece of its own
+        behind anything but white space, so its id marks where pieces end."""
+        texts = [p.decode() for p in pieces]
+        blank = np.array([t[-1].isspace() for t in texts])
+        lines, others = np.flatnonzero(~blank), np.flatnonzero(blank)
+        joined = ["".join([texts[k] + "\n" for k in lines[at : at + LINES].tolist()]) for at in range(0, len(lines), LINES)]
+        found = [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        found.extend(np.array([*tokenizer.encode(texts[k], add_special_tokens=False).ids, line_end], np.int32) for k in others.tolist())
+        # a blank piece may hold line ends itself: its own length is known
+        flat = np.concatenate([np.zeros(0, np.int32), *found])
+        ruled = int(sum(map(len, found[: len(joined)])))
+        ends = np.concatenate([np.flatnonzero(flat[:ruled] == line_end), ruled - 1 + np.cumsum([len(x) for x in found[len(joined) :]], dtype=np.int64)])
+        if len(ends) != len(pieces):
+            raise RuntimeError("pieces and lines do not agree")
+        size = np.diff(ends, prepend=-1) - 1
+        begin = ends - size
+        place = np.argsort(np.concatenate([lines, others]), kind="stable")
+        size, begin = size[place], begin[place]
+        return size, flat[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
 
     return PieceCoder(encode)
 

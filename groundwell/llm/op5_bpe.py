@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import textkit as K
-from .pieces import PieceCoder
+from .pieces import PieceCoder, flattened
 from .storage import documents, read_table, small_batches
 
 RANKS_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -134,7 +134,7 @@ def ranks(path: str) -> Ranks:
 
 @functools.lru_cache(maxsize=2)
 def coder(path: str) -> PieceCoder:
-    return PieceCoder(ranks(path).many)
+    return PieceCoder(lambda pieces: flattened(ranks(path).many(pieces)))
 
 
 def decode_ids(ids: list[int], path: str) -> bytes:
@@ -152,7 +152,7 @@ def _blocks(batch: pa.RecordBatch, path: str) -> Iterator[tuple[int, int, np.nda
         block, own = data[offs[low] : offs[high]], offs[low : high + 1] - offs[low]
         got = coder(path).block(block, own)
         if decode_ids(got[0].tolist(), path) != block.tobytes():
-            got = PieceCoder(lambda pieces: [ranks(path).one(p) for p in pieces]).block(block, own)
+            got = PieceCoder(lambda pieces: flattened([ranks(path).one(p) for p in pieces])).block(block, own)
             if decode_ids(got[0].tolist(), path) != block.tobytes():
                 raise RuntimeError("token ids do not decode to their text")
         yield low, high, *got

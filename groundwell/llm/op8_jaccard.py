@@ -35,8 +35,9 @@ from . import textkit as K
 from .components import connected_components
 from .storage import documents, materialise, read_table, small_batches
 
-SHINGLE = 3
-PERCENT = 90
+#: Shingle words and similarity unless a caller says otherwise; the query says 3 and 90.
+SHINGLE = 5
+PERCENT = 80
 #: Members of one chunk of a large group.
 CHUNK = 1024
 #: Hash ranges more than needed, so that this many may be empty.
@@ -257,8 +258,8 @@ def _link_rows(percent: int):
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every document; see the module."""
-    if not 50 <= percent <= 100:
-        raise ValueError("percent must be between 50 and 100")
+    if not 70 <= percent <= 100:
+        raise ValueError("percent must be between 70 and 100: below, sizes two levels apart may link")
     docs = documents(docs)
     sets = materialise(docs.mapInArrow(_set_rows(size, percent), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"), "op8-sets")
     classes = sets.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("class_id"))
@@ -283,4 +284,4 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+    return near_duplicates(read_table(spark, sf_dir, "documents"), size=3, percent=90)

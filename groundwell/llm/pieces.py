@@ -158,15 +158,22 @@ def split_pieces(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.append(start, len(data)), np.searchsorted(start, offs)
 
 
+def flattened(lists: list) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and concatenation of lists of ids."""
+    size = np.fromiter(map(len, lists), np.int64, len(lists))
+    return size, np.fromiter((x for y in lists for x in y), np.int32, int(size.sum()))
+
+
 class PieceCoder:
     """Token ids of pieces, kept in a direct-mapped cache of bounded size.
 
-    ``encode`` gives the ids of distinct pieces that are not in the cache.
+    ``encode`` gives, of distinct pieces that are not in the cache, the number of
+    ids of each and all ids in turn.
     """
 
     SLOTS = 1 << 19
 
-    def __init__(self, encode: Callable[[list[bytes]], list]) -> None:
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> None:
         self.encode = encode
         self.reset()
 
@@ -178,10 +185,8 @@ class PieceCoder:
         self.ids = np.zeros(0, np.int32)
 
     def _add(self, pieces: list[bytes]) -> np.ndarray:
-        got = self.encode(pieces)
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((x for y in got for x in y), np.int32, int(size.sum()))
-        at = np.arange(len(self.begin), len(self.begin) + len(got))
+        size, flat = self.encode(pieces)
+        at = np.arange(len(self.begin), len(self.begin) + len(pieces))
         self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
         self.ids = np.concatenate([self.ids, flat])
