@@ -6,12 +6,14 @@ side that outgrows the session's threshold is shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .registry import Tables, query
 
-_RETURNED = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+
+def _returned() -> Column:
+    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
 
 
 @query("join_revenue_by_segment", "SELECT c_mktsegment AS segment, round(sum(o_totalprice), 2) AS order_value FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY c_mktsegment")
@@ -26,7 +28,7 @@ def join_revenue_by_segment(t: Tables) -> DataFrame:
 )
 def join3_returns_by_nation(t: Tables) -> DataFrame:
     month = (F.col("l_shipdate") >= F.lit("2001-06-01").cast("timestamp_ntz")) & (F.col("l_shipdate") < F.lit("2001-07-01").cast("timestamp_ntz"))
-    lines = t.lineitem.where((F.col("l_returnflag") == "R") & month).select("l_orderkey", _RETURNED.alias("value"))
+    lines = t.lineitem.where((F.col("l_returnflag") == "R") & month).select("l_orderkey", _returned().alias("value"))
     joined = lines.join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     joined = joined.join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     joined = joined.join(t.nation.select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
