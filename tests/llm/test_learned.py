@@ -88,10 +88,22 @@ def test_quality_and_toxicity_on_held_out_rows(spark):
 
 
 def test_nonnegative_step_does_not_run_away():
-    rng = np.random.default_rng(13)
-    bags = [rng.integers(0, 50, 8) for _ in range(200)]  # nothing to learn
-    _, bias = op10.train(bags, np.arange(200) < 20, 50, prior=0.1, known=0.05)
-    assert abs(bias - np.log(0.1 / 0.9)) < 2
+    rng, positive, known = np.random.default_rng(13), np.arange(200) < 20, 0.05
+
+    def outcome(bags: list[np.ndarray], n_features: int, prior: float) -> tuple[np.ndarray, float, float]:
+        """Logits, the negative part of the risk, and the largest weight."""
+        weights, bias = op10.train(bags, positive, n_features, prior=prior, known=known)
+        f = np.array([weights[b].sum() + bias for b in bags])
+        as_negative = np.logaddexp(0, f)
+        risk = (1 - known) * as_negative[~positive].mean() - (prior - known) * as_negative[positive].mean()
+        return f, risk, np.abs(weights).max()
+
+    f, risk, _ = outcome([rng.integers(0, 50, 8) for _ in range(200)], 50, 0.1)  # nothing to learn
+    assert abs(op10.sigmoid(f).mean() - 0.1) < 0.05 and risk > 0
+    # every positive has a feature of its own: without the correction the risk falls without end
+    f, risk, largest = outcome([np.array([k]) if k < 20 else np.zeros(0, np.int64) for k in range(200)], 20, 0.3)
+    assert risk > -0.05 and largest < 8
+    assert (f[positive] > f[~positive].max()).all()
 
 
 def test_attention_gradients():
