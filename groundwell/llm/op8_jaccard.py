@@ -4,15 +4,15 @@ A document's tokens are its distinct word shingles.  Two documents link when
 ``100 * |A & B| >= percent * |A | B|``.
 
 1. Documents with equal token sets are one class; the least id stands for it.
-2. Similar documents are partitioned into *groups*.  Tokens are dealt into
-   hash ranges, more of them than linked documents can differ in, so linked
-   documents agree on a whole non-empty range (pigeonhole principle); the hash
-   of a range's tokens is a key.  Documents joined by equal keys form a group,
-   and no link leaves a group.
+2. Similar documents are partitioned into *groups*.  Tokens have one order
+   everywhere, rare ones first (by counts over all documents, kept in a table of
+   ``COUNTERS`` hash counters).  Linked documents share one of their first
+   ``n - ceil(percent % of n) + 1`` tokens (prefix filter; Chaudhuri et al., 2006);
+   documents joined by such tokens form a group, and no link leaves a group.
 3. In a group, the token-group matrix has subgroups of documents and the union
-   of their tokens.  A document opens a subgroup only if it shares at least
-   ``percent`` % of its own tokens with the union, the bound for a link to any
-   member; members already connected with it need no comparison.
+   of their tokens, held by token.  A document opens a subgroup only if it shares
+   at least ``percent`` % of its own tokens with the union, the bound for a link
+   to any member; members already connected with it need no comparison.
 4. Links and classes give components.
 
 Large groups are dealt into tiles of pairs of chunks, so no task holds a whole
@@ -23,11 +23,13 @@ one class if their texts agree.  Other columns are ignored.
 
 from __future__ import annotations
 
-import functools
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,19 +42,10 @@ SHINGLE = 5
 PERCENT = 80
 #: Members of one chunk of a large group.
 CHUNK = 1024
-#: Hash ranges more than needed, so that this many may be empty.
-SPARE = 2
-#: Sizes of one level differ by this factor at most.
-LEVEL_RATIO = 1.5
-
-
-@functools.lru_cache(maxsize=None)
-def _levels() -> np.ndarray:
-    """Lower bounds of the size levels; the last is beyond any text."""
-    low = [1]
-    while low[-1] < 1 << 40:
-        low.append(max(low[-1] + 1, int(low[-1] * LEVEL_RATIO)))
-    return np.array(low)
+#: Counters of the table that orders tokens, a power of two; one byte each is sent to every task.
+COUNTERS = 1 << 20
+#: Counters of one row while the table is added up.
+STRIPE = 4096
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,65 +68,69 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndar
     return value, np.searchsorted(doc, np.arange(len(offs)))
 
 
-def _range_keys(value: np.ndarray, first: np.ndarray, level: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document index, key) of each non-empty hash range, at the given level of each document."""
+def _stripe_rows(size: int):
+    """Counts of the distinct tokens of each document of one partition, by hash, in stripes."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            data, offs = K.text_bytes(batch.column("text"))
+            for low, high in K.doc_blocks(offs):
+                value, _ = shingle_sets(data[offs[low] : offs[high]], offs[low : high + 1] - offs[low], size)
+                total += np.bincount(_counter(value), minlength=COUNTERS)
+        if total.any():
+            yield _stripes(range(COUNTERS // STRIPE), total.reshape(-1, STRIPE))
+
+    return rows
+
+
+def _counter(value: np.ndarray) -> np.ndarray:
+    return (value >> K.U64(65 - COUNTERS.bit_length())).astype(np.int64)
+
+
+def _stripes(names, counts) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(names), pa.int32()), pa.array([c.tobytes() for c in counts], pa.binary())], ["stripe", "counts"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, raw in zip(batch.column("stripe").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            total[k] = total.get(k, 0) + np.frombuffer(raw, np.int64)
+    if total:
+        yield _stripes(total, total.values())
+
+
+def token_ranks(docs: DataFrame, size: int) -> np.ndarray:
+    """How common tokens are, by hash counter: four steps for each doubling of the count."""
+    ranks = np.zeros(COUNTERS, np.uint8)
+    stripes = docs.mapInArrow(_stripe_rows(size), "stripe int, counts binary").repartition("stripe").mapInArrow(_added, "stripe int, counts binary")
+    for k, raw in stripes.toLocalIterator():
+        ranks[k * STRIPE : (k + 1) * STRIPE] = 4 * np.log2(1 + np.frombuffer(raw, np.int64))
+    return ranks
+
+
+def prefix_keys(value: np.ndarray, first: np.ndarray, ranks: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many keys each document has, and its first tokens in the common order."""
     size = np.diff(first)
-    least = _levels()
-    top = least[level + 1] - 1
-    m = top * (100 - percent) // percent + 1 + SPARE  # linked sets differ in top * (1/p - 1) tokens at most
+    length = np.where(size > 0, size - (percent * size + 99) // 100 + 1, 0)
     doc = np.repeat(np.arange(len(size)), size)
-    with np.errstate(over="ignore"):
-        part = ((value >> K.U64(32)) * m[doc].astype(K.U64)) >> K.U64(32)
-        new = np.ones(len(value), dtype=bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])
-        at = np.flatnonzero(new)
-        total = np.add.reduceat(K.mix(value ^ K.U64(0x5851F42D4C957F2D)), at) if len(at) else value[:0]
-        place = K.mix((level[doc[at]].astype(K.U64) << K.U64(40)) + part[at] + K.U64(1))
-        keys, owner = K.combine(place, total), doc[at]
-        parts, holder = part[at].astype(np.int64), owner
-        # more empty ranges than spare ones: two such sets may agree on empty ranges only
-        filled = np.bincount(owner, minlength=len(size))
-        for d in np.flatnonzero((size > 0) & (m - filled > SPARE)).tolist():
-            empty = np.setdiff1d(np.arange(m[d]), parts[holder == d])
-            place = K.mix((K.U64(level[d]) << K.U64(40)) + empty.astype(K.U64) + K.U64(1))
-            keys = np.concatenate([keys, K.mix(place)])
-            owner = np.concatenate([owner, np.full(len(empty), d)])
-    return owner, keys
-
-
-def _set_rows(size: int, percent: int):
+    order = np.lexsort((value, ranks[_counter(value)], doc))
+    return length, value[order][np.arange(len(value)) - first[doc] < length[doc]]
+
+
+def _set_rows(size: int, percent: int, ranks: Broadcast):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = K.text_bytes(batch.column("text"))
             for low, high in K.doc_blocks(offs):
                 value, first = shingle_sets(data[offs[low] : offs[high]], offs[low : high + 1] - offs[low], size)
-                n = np.diff(first)
-                least = _levels()
-                level = np.maximum(np.searchsorted(least, n, "right") - 1, 0)
-                owner, keys = _range_keys(value, first, level, percent)
-                # a link with a smaller set of the level below
-                below = np.flatnonzero((level > 0) & ((least[level] - 1) * 100 >= percent * n))
-                if len(below):
-                    pick = np.concatenate([np.arange(first[d], first[d + 1]) for d in below])
-                    sub = np.concatenate([[0], np.cumsum(n[below])])
-                    o, k = _range_keys(value[pick], sub, level[below] - 1, percent)
-                    owner, keys = np.concatenate([owner, below[o]]), np.concatenate([keys, k])
-                    order = np.argsort(owner, kind="stable")
-                    owner, keys = owner[order], keys[order]
-                else:
-                    order = np.argsort(owner, kind="stable")
-                    owner, keys = owner[order], keys[order]
+                n_keys, keys = prefix_keys(value, first, ranks.value, percent)
                 with np.errstate(over="ignore"):
                     total = np.concatenate([np.zeros((2, 1), K.U64), np.cumsum([K.mix(value), K.mix(~value)], axis=1)], axis=1)
                     h1, h2 = (t[first[1:]] - t[first[:-1]] for t in total)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(low, high - low),
-                        pa.array(n.astype(np.int64)),
-                        pa.array(K.signed(h1)),
-                        pa.array(K.signed(h2)),
-                        K.list_column(np.bincount(owner, minlength=high - low), pa.array(K.signed(keys))),
-                    ],
+                    [batch.column("doc_id").slice(low, high - low), pa.array(np.diff(first).astype(np.int64)), pa.array(K.signed(h1)), pa.array(K.signed(h2)), K.list_column(n_keys, pa.array(K.signed(keys)))],
                     ["doc_id", "n_shingles", "h1", "h2", "keys"],
                 )
 
@@ -194,18 +191,16 @@ def group_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None =
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     forest, links = _Forest(len(sets)), []
     mark = np.zeros(len(flat), dtype=bool)
-    subgroups: list[dict] = []
+    subgroups: list[list[int]] = []  # members
+    matrix: dict[int, list[int]] = {}  # token: the subgroups whose union holds it
     for x in order:
-        mine = sets[x]
+        mine, names = sets[x], sets[x].tolist()
         mark[mine] = True
-        best, best_at = 0, -1
-        for k, sub in enumerate(subgroups):
-            shared = int(mark[sub["union"]].sum())
-            if shared > best:
-                best, best_at = shared, k
-            if 100 * shared < percent * len(mine):
+        shared = Counter(chain.from_iterable(matrix.get(t, ()) for t in names))
+        for k, n in shared.items():
+            if 100 * n < percent * len(mine):
                 continue  # no member can link
-            members = sub["members"]
+            members = subgroups[k]
             for j in range(len(members)):
                 y = members[j]
                 if 100 * len(sets[y]) < percent * len(mine) or (side is not None and side[x] == side[y]):
@@ -220,12 +215,15 @@ def group_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None =
                     if j:  # sought first next time
                         members.insert(0, members.pop(j))
         mark[mine] = False
-        if 2 * best >= len(mine) and best_at >= 0:
-            sub = subgroups[best_at]
-            sub["members"].append(x)
-            sub["union"] = np.union1d(sub["union"], mine)
-        else:
-            subgroups.append({"members": [x], "union": mine})
+        best = max(shared, key=lambda k: (shared[k], -k), default=-1)
+        if best < 0 or 2 * shared[best] < len(mine):
+            best = len(subgroups)
+            subgroups.append([])
+        subgroups[best].append(x)
+        for t in names:
+            held = matrix.setdefault(t, [])
+            if best not in held:
+                held.append(best)
     return links
 
 
@@ -258,10 +256,11 @@ def _link_rows(percent: int):
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every document; see the module."""
-    if not 70 <= percent <= 100:
-        raise ValueError("percent must be between 70 and 100: below, sizes two levels apart may link")
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be between 1 and 100")
     docs = documents(docs)
-    sets = materialise(docs.mapInArrow(_set_rows(size, percent), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"), "op8-sets")
+    ranks = docs.sparkSession.sparkContext.broadcast(token_ranks(docs, size))  # COUNTERS bytes
+    sets = materialise(docs.mapInArrow(_set_rows(size, percent, ranks), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"), "op8-sets")
     classes = sets.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("class_id"))
     classes = materialise(classes, "op8-classes")
     heads = sets.select("doc_id", "keys").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")

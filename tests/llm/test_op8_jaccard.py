@@ -51,29 +51,27 @@ def test_components_are_those_of_brute_force(docs, texts, size, percent, chunk):
     assert len({v[1] for v in want.values()}) < len(want) - 6
 
 
-def test_linked_sets_share_a_key_of_their_levels():
-    """The pigeonhole argument, on random sets at exactly the threshold."""
+@pytest.mark.parametrize("percent", [70, 80, 90])
+def test_linked_sets_share_a_key(percent):
+    """The prefix argument, on random sets about the threshold, whatever the order of tokens."""
     rng = np.random.default_rng(6)
-    least = op._levels()
+    seen = 0
     for n in [1, 2, 3, 4, 7, 8, 9, 10, 11, 12, 17, 18, 19, 26, 27, 40, 60, 61, 89, 90, 133, 200, 450]:
         for _ in range(12):
-            pool = np.unique(rng.integers(0, 1 << 63, 2 * n + 5, dtype=np.uint64))
+            ranks = rng.integers(0, 5, op.COUNTERS).astype(np.uint8)
+            pool = np.unique(rng.integers(0, 1 << 63, 2 * n + 5, dtype=np.uint64) * np.uint64(2))
             rng.shuffle(pool)
-            drop = int(rng.integers(0, n // 9 + 1))
-            add = max(0, (n - drop) * 100 // 90 - n) if drop == 0 else 0
+            drop = int(rng.integers(0, n * (100 - percent) // 100 + 1))
+            add = max(0, (n - drop) * 100 // percent - n)
             a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[drop:n], pool[n : n + add]]))
             common = n - drop
-            if 100 * common < 90 * (len(a) + len(b) - common) or not len(b):
+            if 100 * common < percent * (len(a) + len(b) - common):
                 continue
-            keys = []
-            for s in (a, b):
-                level = np.array([np.searchsorted(least, len(s), "right") - 1])
-                first = np.array([0, len(s)])
-                mine = set(op._range_keys(s, first, level, 90)[1].tolist())
-                if level[0] and (least[level[0]] - 1) * 100 >= 90 * len(s):
-                    mine |= set(op._range_keys(s, first, level - 1, 90)[1].tolist())
-                keys.append(mine)
-            assert keys[0] & keys[1], (n, drop, add)
+            seen += 1
+            counts, keys = zip(*[op.prefix_keys(s, np.array([0, len(s)]), ranks, percent) for s in (a, b)], strict=True)
+            assert [c[0] for c in counts] == [len(k) for k in keys]
+            assert set(keys[0].tolist()) & set(keys[1].tolist()), (n, drop, add)
+    assert seen > 100
 
 
 def test_group_links_connect_what_brute_force_connects():
