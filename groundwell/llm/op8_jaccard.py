@@ -7,8 +7,10 @@ A document's tokens are its distinct word shingles.  Two documents link when
 2. Similar documents are partitioned into *groups*.  Tokens have one order
    everywhere, rare ones first (by counts over all documents, kept in a table of
    ``COUNTERS`` hash counters).  Linked documents share one of their first
-   ``n - ceil(percent % of n) + 1`` tokens (prefix filter; Chaudhuri et al., 2006);
-   documents joined by such tokens form a group, and no link leaves a group.
+   ``n - ceil(percent % of n) + 1`` tokens (prefix filter; Chaudhuri et al., 2006).
+   Of documents that share such a token, those are joined whose histograms of
+   tokens over ``CELLS`` cells differ by no more than linked documents can; joined
+   documents form a group, and no link leaves a group.
 3. In a group, the token-group matrix has subgroups of documents and the union
    of their tokens, held by token.  A document opens a subgroup only if it shares
    at least ``percent`` % of its own tokens with the union, the bound for a link
@@ -44,6 +46,10 @@ PERCENT = 80
 CHUNK = 1024
 #: Counters of the table that orders tokens, a power of two; one byte each is sent to every task.
 COUNTERS = 1 << 20
+#: Cells of a document's token histogram.
+CELLS = 64
+#: Documents with one token whose histograms are compared; more are joined as they are.
+BUCKET = 1024
 #: Counters of one row while the table is added up.
 STRIPE = 4096
 
@@ -119,6 +125,13 @@ def prefix_keys(value: np.ndarray, first: np.ndarray, ranks: np.ndarray, percent
     return length, value[order][np.arange(len(value)) - first[doc] < length[doc]]
 
 
+def histograms(value: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Tokens of each document in each cell; linked documents differ in few cells."""
+    size = np.diff(first)
+    cell = np.repeat(np.arange(len(size)), size) * CELLS + (K.mix(value) % K.U64(CELLS)).astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=len(size) * CELLS), 0xFFFF).astype(np.uint16).reshape(-1, CELLS)
+
+
 def _set_rows(size: int, percent: int, ranks: Broadcast):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,28 +143,104 @@ def _set_rows(size: int, percent: int, ranks: Broadcast):
                     total = np.concatenate([np.zeros((2, 1), K.U64), np.cumsum([K.mix(value), K.mix(~value)], axis=1)], axis=1)
                     h1, h2 = (t[first[1:]] - t[first[:-1]] for t in total)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(low, high - low), pa.array(np.diff(first).astype(np.int64)), pa.array(K.signed(h1)), pa.array(K.signed(h2)), K.list_column(n_keys, pa.array(K.signed(keys)))],
-                    ["doc_id", "n_shingles", "h1", "h2", "keys"],
+                    [batch.column("doc_id").slice(low, high - low), pa.array(np.diff(first).astype(np.int64)), pa.array(K.signed(h1)), pa.array(K.signed(h2)), K.list_column(n_keys, pa.array(K.signed(keys))), pa.array([x.tobytes() for x in histograms(value, first)], pa.binary())],
+                    ["doc_id", "n_shingles", "h1", "h2", "keys", "cells"],
                 )
 
     return rows
 
 
-def star_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, id), edges from each id to the least id of its key; streams."""
-    last_key, last_id = None, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, ids = batch.column("key").to_numpy(), batch.column("id").to_numpy()
-        new = np.concatenate([[key[0] != last_key], key[1:] != key[:-1]])
-        at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-        least = np.where(at >= 0, ids[np.maximum(at, 0)], last_id if last_id is not None else 0)
-        last_key, last_id = key[-1], least[-1]
-        edge = least != ids
-        if edge.any():
-            pairs = np.unique(np.stack([ids[edge], least[edge]]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
+def _bucket_rows(limit: int):
+    """Of rows sorted by (key, id), the buckets of one key, each set of ids once a batch.
+
+    Rows out: (bucket, id), or of a key with more than ``limit`` rows (id, least):
+    its ids beside the least of them.  Streams: at most ``limit`` rows of a key are held.
+    """
+
+    def batch_of(bucket: np.ndarray | None, ids: np.ndarray, least: np.ndarray | None) -> pa.RecordBatch:
+        none = pa.nulls(len(ids), pa.int64())
+        return pa.RecordBatch.from_arrays([none if bucket is None else pa.array(bucket), pa.array(ids), none if least is None else pa.array(least)], ["bucket", "id", "least"])
+
+    def whole(key: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(key):
+            return
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n = np.diff(np.append(new, len(key)))
+        with np.errstate(over="ignore"):
+            name = K.combine(np.add.reduceat(K.mix(ids.view(K.U64)), new), n.astype(K.U64))
+        once = np.zeros(len(new), dtype=bool)
+        once[np.unique(name, return_index=True)[1]] = True
+        keep = np.repeat(once & (n > 1) & (n <= limit), n)
+        if keep.any():
+            yield batch_of(K.signed(np.repeat(name, n)[keep]), ids[keep], None)
+        large = np.repeat(n > limit, n)
+        if large.any():
+            yield batch_of(None, ids[large], np.repeat(ids[new], n)[large])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of the last key, that wait
+        hot, least = None, 0  # the last key, if it has more rows than may wait
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, ids = np.concatenate([key, batch.column("key").to_numpy()]), np.concatenate([ids, batch.column("id").to_numpy()])
+            if hot is not None:
+                end = int(np.searchsorted(key, hot, "right"))
+                if end:
+                    yield batch_of(None, ids[:end], np.full(end, least))
+                key, ids = key[end:], ids[end:]
+                if not len(key):
+                    continue
+                hot = None
+            tail = int(np.searchsorted(key, key[-1]))
+            yield from whole(key[:tail], ids[:tail])
+            key, ids = key[tail:], ids[tail:]
+            if len(key) > limit:
+                hot, least = key[0], ids[0]
+                yield batch_of(None, ids, np.full(len(ids), least))
+                key, ids = key[:0], ids[:0]
+        yield from whole(key, ids)
+
+    return rows
+
+
+def joined_pairs(cells: np.ndarray, size: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs that connect all documents whose histograms allow a link."""
+    pairs, rest = [], np.arange(len(size))
+    while len(rest) > 1:
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            x = queue.pop()
+            apart = np.abs(cells[rest] - cells[x]).sum(1)
+            near = (100 + percent) * apart <= (100 - percent) * (size[rest] + size[x])
+            queue.extend(rest[near].tolist())
+            pairs.extend((y, x) for y in rest[near].tolist())
+            rest = rest[~near]
+    return pairs
+
+
+def _joined_rows(percent: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        table = pa.Table.from_batches(got)
+        bucket, ids, size = (table.column(c).to_numpy() for c in ("bucket", "id", "n_shingles"))
+        raw = table.column("cells").combine_chunks()
+        order = np.argsort(bucket, kind="stable")
+        edges = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1], [True]]))
+        u: list[int] = []
+        v: list[int] = []
+        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            at = order[low:high]
+            cells = np.frombuffer(b"".join(raw.take(pa.array(at)).to_pylist()), np.uint16).reshape(len(at), CELLS).astype(np.int64)
+            for p, q in joined_pairs(cells, size[at], percent):
+                u.append(ids[at[p]])
+                v.append(ids[at[q]])
+        if u:
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return rows
 
 
 def _token_rows(size: int):
@@ -254,19 +343,22 @@ def _link_rows(percent: int):
     return rows
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every document; see the module."""
     if not 1 <= percent <= 100:
         raise ValueError("percent must be between 1 and 100")
     docs = documents(docs)
     ranks = docs.sparkSession.sparkContext.broadcast(token_ranks(docs, size))  # COUNTERS bytes
-    sets = materialise(docs.mapInArrow(_set_rows(size, percent, ranks), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"), "op8-sets")
+    sets = materialise(docs.mapInArrow(_set_rows(size, percent, ranks), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, cells binary"), "op8-sets")
     classes = sets.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("class_id"))
     classes = materialise(classes, "op8-classes")
     heads = sets.select("doc_id", "keys").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
     keyed = heads.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
-    stars = keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(star_edges, "u long, v long")
-    groups = connected_components(stars)
+    buckets = keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_bucket_rows(bucket), "bucket long, id long, least long")
+    buckets = materialise(buckets.distinct(), "op8-buckets")
+    placed = buckets.where("bucket is not null").select("bucket", "id").join(sets.select(F.col("doc_id").alias("id"), "n_shingles", "cells").hint("merge"), "id")
+    joined = placed.repartition("bucket").mapInArrow(_joined_rows(percent), "u long, v long")
+    groups = connected_components(joined.union(buckets.where("bucket is null").select(F.col("id").alias("u"), F.col("least").alias("v"))))
     sizes = groups.groupBy("component").agg((F.floor((F.count("*") - 1) / chunk) + 1).cast("int").alias("tiles"))
     inside = groups.join(sizes, "component").select(F.col("id").alias("doc_id"), "component", "tiles")
     tokens = docs.join(inside.hint("merge"), "doc_id")  # the same plan at every size

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from groundwell.llm import op8_jaccard as op
@@ -74,6 +75,40 @@ def test_linked_sets_share_a_key(percent):
     assert seen > 100
 
 
+def test_hot_keys_are_joined_as_they_are(docs, texts):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op.near_duplicates(docs, 3, 80, bucket=2).collect()}
+    assert got == brute(texts, 3, 80)
+
+
+def test_buckets_stream():
+    rng = np.random.default_rng(9)
+    key = np.sort(np.concatenate([rng.integers(0, 30, 200), np.full(90, 12), np.full(9, 40)]))
+    ids = np.concatenate([np.sort(rng.integers(0, 1000, (key == k).sum())) for k in np.unique(key)])
+    batches = [pa.RecordBatch.from_arrays([pa.array(key[a : a + 7]), pa.array(ids[a : a + 7])], ["key", "id"]) for a in range(0, len(key), 7)]
+    out = pa.Table.from_batches(list(op._bucket_rows(20)(iter(batches)))).to_pylist()
+    members: dict = {}
+    for r in out:
+        if r["bucket"] is not None:
+            members.setdefault(r["bucket"], []).append(r["id"])
+    want = {k: ids[key == k].tolist() for k in np.unique(key).tolist()}
+    assert {tuple(m) for m in members.values()} == {tuple(m) for m in want.values() if 1 < len(m) <= 20}
+    hot = [(x, m[0]) for m in want.values() if len(m) > 20 for x in m]
+    assert sorted((r["id"], r["least"]) for r in out if r["bucket"] is None) == sorted(hot)
+
+
+@pytest.mark.parametrize("percent", [70, 80, 90])
+def test_histograms_never_part_a_link(percent):
+    rng = np.random.default_rng(10)
+    for _ in range(20):
+        base = rng.integers(0, 1 << 62, 300, dtype=np.uint64)
+        sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(200, 301)], rng.integers(0, 1 << 62, rng.integers(0, 40), dtype=np.uint64)])) for _ in range(12)]
+        first = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        cells = op.histograms(np.concatenate(sets), first).astype(np.int64)
+        links = [(a, b) for a, b in itertools.combinations(range(12), 2) if 100 * len(np.intersect1d(sets[a], sets[b])) >= percent * len(np.union1d(sets[a], sets[b]))]
+        joined = components_of(range(12), op.joined_pairs(cells, np.diff(first), percent))
+        assert all(joined[a] == joined[b] for a, b in links)
+
+
 def test_group_links_connect_what_brute_force_connects():
     rng = random.Random(7)
     for _ in range(30):
