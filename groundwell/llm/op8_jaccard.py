@@ -8,8 +8,8 @@ A document's tokens are its distinct word shingles.  Two documents link when
    everywhere, rare ones first (by counts over all documents, kept in a table of
    ``COUNTERS`` hash counters).  Linked documents share one of their first
    ``n - ceil(percent % of n) + 1`` tokens (prefix filter; Chaudhuri et al., 2006).
-   Of documents that share such a token, those are joined whose histograms of
-   tokens over ``CELLS`` cells differ by no more than linked documents can; joined
+   Of documents that share such a token, those are joined whose token
+   histograms differ by no more than linked documents can; joined
    documents form a group, and no link leaves a group.
 3. In a group, the token-group matrix has subgroups of documents and the union
    of their tokens, held by token.  A document opens a subgroup only if it shares
@@ -42,12 +42,15 @@ from .storage import documents, materialise, read_table, small_batches
 #: Shingle words and similarity unless a caller says otherwise; the query says 3 and 90.
 SHINGLE = 5
 PERCENT = 80
-#: Members of one chunk of a large group.
+#: Members and tokens of one chunk of a large group, about.
 CHUNK = 1024
+CHUNK_TOKENS = 400_000
 #: Counters of the table that orders tokens, a power of two; one byte each is sent to every task.
 COUNTERS = 1 << 20
-#: Cells of a document's token histogram.
+#: Cells of the token histogram of a document of up to ``DENSE`` tokens; longer ones have
+#: twice as many for each doubling of their length.
 CELLS = 64
+DENSE = 1024
 #: Documents with one token whose histograms are compared; more are joined as they are.
 BUCKET = 1024
 #: Counters of one row while the table is added up.
@@ -125,11 +128,20 @@ def prefix_keys(value: np.ndarray, first: np.ndarray, ranks: np.ndarray, percent
     return length, value[order][np.arange(len(value)) - first[doc] < length[doc]]
 
 
-def histograms(value: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Tokens of each document in each cell; linked documents differ in few cells."""
+def levels(size: np.ndarray) -> np.ndarray:
+    """How often the cells of a document of so many tokens are doubled."""
+    return np.frexp(np.maximum(size, 0) // DENSE)[1]
+
+
+def histograms(value: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Tokens of each document in each cell, one byte a cell; linked documents differ in few cells."""
     size = np.diff(first)
-    cell = np.repeat(np.arange(len(size)), size) * CELLS + (K.mix(value) % K.U64(CELLS)).astype(np.int64)
-    return np.minimum(np.bincount(cell, minlength=len(size) * CELLS), 0xFFFF).astype(np.uint16).reshape(-1, CELLS)
+    n_cells = CELLS << levels(size)
+    begin = np.concatenate([[0], np.cumsum(n_cells)])
+    doc = np.repeat(np.arange(len(size)), size)
+    cell = begin[doc] + (K.mix(value) & (n_cells[doc] - 1).astype(K.U64)).astype(np.int64)
+    flat = np.minimum(np.bincount(cell, minlength=begin[-1]), 255).astype(np.uint8).tobytes()
+    return [flat[a:b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
 
 
 def _set_rows(size: int, percent: int, ranks: Broadcast):
@@ -143,7 +155,7 @@ def _set_rows(size: int, percent: int, ranks: Broadcast):
                     total = np.concatenate([np.zeros((2, 1), K.U64), np.cumsum([K.mix(value), K.mix(~value)], axis=1)], axis=1)
                     h1, h2 = (t[first[1:]] - t[first[:-1]] for t in total)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(low, high - low), pa.array(np.diff(first).astype(np.int64)), pa.array(K.signed(h1)), pa.array(K.signed(h2)), K.list_column(n_keys, pa.array(K.signed(keys))), pa.array([x.tobytes() for x in histograms(value, first)], pa.binary())],
+                    [batch.column("doc_id").slice(low, high - low), pa.array(np.diff(first).astype(np.int64)), pa.array(K.signed(h1)), pa.array(K.signed(h2)), K.list_column(n_keys, pa.array(K.signed(keys))), pa.array(histograms(value, first), pa.binary())],
                     ["doc_id", "n_shingles", "h1", "h2", "keys", "cells"],
                 )
 
@@ -204,18 +216,40 @@ def _bucket_rows(limit: int):
     return rows
 
 
-def joined_pairs(cells: np.ndarray, size: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def joined_pairs(cells: list[bytes], size: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Pairs that connect all documents whose histograms allow a link."""
+    level = levels(size)
+    place = np.zeros(len(size), np.int64)
+    own: dict[int, np.ndarray] = {}
+    half: dict[int, np.ndarray] = {}  # cells as of the level below
+    for k in np.unique(level).tolist():
+        at = np.flatnonzero(level == k)
+        place[at] = np.arange(len(at))
+        own[k] = np.frombuffer(b"".join([cells[i] for i in at]), np.uint8).reshape(len(at), -1).astype(np.int16)
+        half[k] = np.minimum(own[k].reshape(len(at), 2, -1).sum(1), 255).astype(np.int16)
+
+    def apart(x: int, rest: np.ndarray) -> np.ndarray:
+        """Whether a link of ``x`` to each of the rest is ruled out."""
+        out, k = np.ones(len(rest), dtype=bool), int(level[x])
+        for other in (k - 1, k, k + 1):  # sizes further apart can't link
+            at = np.flatnonzero(level[rest] == other)
+            if len(at):
+                mine = (own if other >= k else half)[k][place[x]]
+                theirs = (own if other <= k else half)[other][place[rest[at]]]
+                differ = np.abs(theirs - mine).sum(1, dtype=np.int64)
+                out[at] = (100 + percent) * differ > (100 - percent) * (size[rest[at]] + size[x])
+        return out
+
     pairs, rest = [], np.arange(len(size))
     while len(rest) > 1:
         queue, rest = [int(rest[0])], rest[1:]
         while queue and len(rest):
             x = queue.pop()
-            apart = np.abs(cells[rest] - cells[x]).sum(1)
-            near = (100 + percent) * apart <= (100 - percent) * (size[rest] + size[x])
-            queue.extend(rest[near].tolist())
-            pairs.extend((y, x) for y in rest[near].tolist())
-            rest = rest[~near]
+            far = apart(x, rest)
+            near = rest[~far].tolist()
+            queue.extend(near)
+            pairs.extend((y, x) for y in near)
+            rest = rest[far]
     return pairs
 
 
@@ -233,8 +267,7 @@ def _joined_rows(percent: int):
         v: list[int] = []
         for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             at = order[low:high]
-            cells = np.frombuffer(b"".join(raw.take(pa.array(at)).to_pylist()), np.uint16).reshape(len(at), CELLS).astype(np.int64)
-            for p, q in joined_pairs(cells, size[at], percent):
+            for p, q in joined_pairs(raw.take(pa.array(at)).to_pylist(), size[at], percent):
                 u.append(ids[at[p]])
                 v.append(ids[at[q]])
         if u:
@@ -345,8 +378,8 @@ def _link_rows(percent: int):
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every document; see the module."""
-    if not 1 <= percent <= 100:
-        raise ValueError("percent must be between 1 and 100")
+    if not 50 <= percent <= 100:
+        raise ValueError("percent must be between 50 and 100: below, histograms two levels apart may link")
     docs = documents(docs)
     ranks = docs.sparkSession.sparkContext.broadcast(token_ranks(docs, size))  # COUNTERS bytes
     sets = materialise(docs.mapInArrow(_set_rows(size, percent, ranks), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, cells binary"), "op8-sets")
@@ -359,7 +392,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     placed = buckets.where("bucket is not null").select("bucket", "id").join(sets.select(F.col("doc_id").alias("id"), "n_shingles", "cells").hint("merge"), "id")
     joined = placed.repartition("bucket").mapInArrow(_joined_rows(percent), "u long, v long")
     groups = connected_components(joined.union(buckets.where("bucket is null").select(F.col("id").alias("u"), F.col("least").alias("v"))))
-    sizes = groups.groupBy("component").agg((F.floor((F.count("*") - 1) / chunk) + 1).cast("int").alias("tiles"))
+    weighed = groups.join(sets.select(F.col("doc_id").alias("id"), "n_shingles").hint("merge"), "id")
+    tiles = F.greatest(F.floor((F.count("*") - 1) / chunk), F.floor(F.sum("n_shingles") / CHUNK_TOKENS)) + 1
+    sizes = weighed.groupBy("component").agg(tiles.cast("int").alias("tiles"))
     inside = groups.join(sizes, "component").select(F.col("id").alias("doc_id"), "component", "tiles")
     tokens = docs.join(inside.hint("merge"), "doc_id")  # the same plan at every size
     tokens = tokens.select("doc_id", "component", "tiles", "text").mapInArrow(_token_rows(size), "doc_id long, component long, tiles int, tokens array<long>")

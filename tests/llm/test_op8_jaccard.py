@@ -100,10 +100,11 @@ def test_buckets_stream():
 def test_histograms_never_part_a_link(percent):
     rng = np.random.default_rng(10)
     for _ in range(20):
-        base = rng.integers(0, 1 << 62, 300, dtype=np.uint64)
-        sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(200, 301)], rng.integers(0, 1 << 62, rng.integers(0, 40), dtype=np.uint64)])) for _ in range(12)]
+        n = int(rng.choice([300, 1100, 2100]))  # about the borders of histogram levels
+        base = rng.integers(0, 1 << 62, n, dtype=np.uint64)
+        sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(2 * n // 3, n + 1)], rng.integers(0, 1 << 62, rng.integers(0, 40), dtype=np.uint64)])) for _ in range(12)]
         first = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-        cells = op.histograms(np.concatenate(sets), first).astype(np.int64)
+        cells = op.histograms(np.concatenate(sets), first)
         links = [(a, b) for a, b in itertools.combinations(range(12), 2) if 100 * len(np.intersect1d(sets[a], sets[b])) >= percent * len(np.union1d(sets[a], sets[b]))]
         joined = components_of(range(12), op.joined_pairs(cells, np.diff(first), percent))
         assert all(joined[a] == joined[b] for a, b in links)
