@@ -47,15 +47,15 @@ NAME_WORDS = {
 }
 _LIKELY = re.compile(r"pass|secret|token|key|credential|auth|pwd|private|bearer|salt|cert|session", re.ASCII | re.IGNORECASE)
 _NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-_PAIR = re.compile(
-    r"""
-    <(?P<tag>[A-Za-z_][A-Za-z0-9_.-]{0,63})>(?P<body>[^<>\n]{6,256})</(?P=tag)>
-    | (?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,63})["']?\x20{0,8}(?:=>|:=|=|:)\x20{0,8}
-      (?: "(?P<double>[^"\\\n]{0,256})" | '(?P<single>[^'\\\n]{0,256})' | (?P<bare>[A-Za-z0-9+/_.=$@!%^&*~-]{1,256}) )
-      (?P<rest>(?:\x20{0,4}\+\x20{0,4}(?:"[^"\\\n]{0,256}"|'[^'\\\n]{0,256}'|[A-Za-z_][A-Za-z0-9_.]{0,63})){0,8})
-    """,
-    re.VERBOSE | re.ASCII,
-)
+# Names, blanks, values and terms have no longest form.  Time stays linear: a run of name characters is read from its start only, and no quantifier gives back.
+_PAIR = r"""
+    <(?P<tag>[A-Za-z_][A-Za-z0-9_.-]*+)>(?P<body>[^<>\n]{6,}+)</(?P=tag)>
+    | START [0-9.-]*+ (?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)["']?\x20*+(?:=>|:=|=|:)\x20*+
+      (?: "(?P<double>[^"\\\n]*+)" | '(?P<single>[^'\\\n]*+)' | (?P<bare>[A-Za-z0-9+/_.=$@!%^&*~-]++) )
+      (?P<rest>(?:\x20*+\+\x20*+(?:"[^"\\\n]*+"|'[^'\\\n]*+'|[A-Za-z_][A-Za-z0-9_.]*+))*+)
+    """
+_NEXT_PAIR = re.compile(_PAIR.replace("START", "(?<![A-Za-z0-9_.-])"), re.VERBOSE | re.ASCII)
+_PAIR_HERE = re.compile(_PAIR.replace("START", ""), re.VERBOSE | re.ASCII)  # a term can end within a run
 _TERM = re.compile(r""""([^"\\\n]*)"|'([^'\\\n]*)'|([A-Za-z_][A-Za-z0-9_.]*)""", re.ASCII)
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z", re.ASCII)
 _PLACEHOLDER = re.compile(r"(?:x+|\*+|\.+|none|null|true|false|todo|changeme|example|your[_-].*|<.*>|\$\{.*\}|%\(.*\).)\Z", re.ASCII | re.IGNORECASE)
@@ -88,33 +88,43 @@ def lexed_spans(text: str) -> list[tuple[int, int, str]]:
     """Literals that reach a sensitive name, directly or through constants."""
     if not _LIKELY.search(text):
         return []
-    literals: dict[str, list[tuple[int, int]]] = {}  # what a name holds so far
-    score: dict[tuple[int, int], float] = {}
-    for m in _PAIR.finditer(text):
+    assigned: list[tuple[float, list[tuple[int, int]], list[int]]] = []  # each assignment's name score, literals and constants
+    latest: dict[str, int] = {}  # the last assignment to a name so far
+    m = _NEXT_PAIR.search(text)
+    while m:
         name = m["name"] or m["tag"]
-        held: list[tuple[int, int]] = []
+        spans: list[tuple[int, int]] = []
+        constants: list[int] = []
         for part in ("double", "single", "body"):
             if m[part] is not None:
-                held.append(m.span(part))
+                spans.append(m.span(part))
         if m["bare"] is not None:
             value = m["bare"]
-            if value in literals:
-                held.extend(literals[value])  # a constant
+            if value in latest:
+                constants.append(latest[value])
             elif not (_IDENTIFIER.match(value) and m["rest"]):
-                held.append(m.span("bare"))
+                spans.append(m.span("bare"))
         if m["rest"]:
             at = m.start("rest")
             for t in _TERM.finditer(m["rest"]):
                 if t[3] is not None:
-                    held.extend(literals.get(t[3], []))
+                    if t[3] in latest:
+                        constants.append(latest[t[3]])
                 else:
                     k = 1 if t[1] is not None else 2
-                    held.append((at + t.start(k), at + t.end(k)))
-        held = held[:16]
-        literals[name] = held
-        of_name = name_score(name)
-        for span in held:
-            score[span] = max(score.get(span, -9.0), of_name)
+                    spans.append((at + t.start(k), at + t.end(k)))
+        latest[name] = len(assigned)
+        assigned.append((name_score(name), spans, constants))
+        m = _PAIR_HERE.match(text, m.end()) or _NEXT_PAIR.search(text, m.end())
+    # Backwards, so that all uses of a constant are known before its own literals are scored: each link is passed once.
+    best = [s for s, _, _ in assigned]
+    score: dict[tuple[int, int], float] = {}
+    for k in range(len(assigned) - 1, -1, -1):
+        _, spans, constants = assigned[k]
+        for c in constants:
+            best[c] = max(best[c], best[k])
+        for span in spans:
+            score[span] = best[k]
     return [(a, b, "lexed") for (a, b), s in score.items() if s + form_score(text[a:b]) >= THRESHOLD]
 
 

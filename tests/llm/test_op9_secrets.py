@@ -48,6 +48,35 @@ def test_harmless_names_and_placeholders_are_left_alone():
         assert lexed(text) == [], text
 
 
+def test_nothing_is_too_long_to_be_read():
+    long = "aB3" * 700
+    assert lexed(f'private_key = "{long}"') == [long]
+    assert lexed(f"private_key = '{long}'") == [long]
+    assert lexed(f"private_key = {long}") == [long]
+    assert op.redact(f"private_key = {long} end") == "private_key = [secret] end"
+    assert lexed(f"<private_key>{long}</private_key>") == [long]
+    assert lexed("private_key" + " " * 20 + "=" + " " * 20 + f'"{long}"') == [long]
+    name = "x_" * 100 + "private_key"
+    assert lexed(f'{name} = "{long}"') == lexed(f"<{name}>{long}</{name}>") == [long]
+    assert lexed(f'--db-pwd="{long}"') == lexed(f'1.db_pwd="{long}"') == [long]
+
+
+def test_a_name_holds_any_number_of_literals():
+    terms = [f"p4ssP4ss{k:02}" for k in range(20)]
+    assert lexed("db_pwd = " + (" " * 20 + "+" + " " * 20).join(f'"{t}"' for t in terms)) == terms
+    lines = "".join(f'{"x_" * 50}{k} = "{t}"\n' for k, t in enumerate(terms))
+    assert lexed(lines + "db_pwd = " + " + ".join(f'{"x_" * 50}{k}' for k in range(20))) == terms
+    assert lexed('A = "p4ssP4ss99"\n' + "A = A + A\n" * 200 + "db_pwd = A") == ["p4ssP4ss99"]
+
+
+def test_uncapped_lexing_takes_linear_time():
+    n = 40_000
+    grown = lexed('A = ""\n' + 'A = A + "p4ssP4ss99"\n' * n + "db_pwd = A")
+    assert grown == ["p4ssP4ss99"] * n
+    for text in ("a-b." * 250_000, "key" + " " * 1_000_000, "key =" + " " * 1_000_000, "key=a" + " + a" * 250_000, 'key="' + "a" * 1_000_000, """key="'""" * 200_000, "<key>aaaaaa" * 100_000, "<" + "k" * 1_000_000, "key = a + '" * 100_000):
+        op.lexed_spans(text)
+
+
 def test_redaction_masks_every_span():
     text = 'a token = "0123456789abcdef0123456789" b'
     assert op.redact(text) == 'a [secret]" b'
