@@ -41,9 +41,27 @@ def same_multiset(left: DataFrame, right: DataFrame, places: int = 2) -> bool:
     return row[0] == 0 and row[1] == 0
 
 
-def with_positions(capped: DataFrame, order: list[str]) -> DataFrame:
-    """Adds ``position``; for results that a row limit has capped already."""
-    return capped.withColumn("position", F.row_number().over(Window.orderBy(*order)))
+def with_positions(df: DataFrame, order: list[str]) -> DataFrame:
+    """Adds ``position``, from 1; ``df`` must give the same rows whenever it is read.
+
+    Ranges of the order columns are numbered side by side, and each adds the
+    rows of the ranges before it.  The driver sees a bounded sample of the order
+    columns and a count of each range.
+    """
+    spark, keys = df.sparkSession, df.select(*order)
+    n_ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sample = keys.sample(min(1.0, 20 * n_ranges / max(keys.count(), 1)), seed=1).orderBy(*order).collect()
+    bounds = [tuple(sample[k * len(sample) // n_ranges]) for k in range(1, n_ranges)] if sample else []
+    one = spark.createDataFrame([(bounds,)], T.StructType([T.StructField("_bounds", T.ArrayType(keys.schema))]))
+    at = F.size(F.filter("_bounds", lambda bound: bound <= F.struct(*order)))
+    ranged = df.crossJoin(F.broadcast(one)).withColumn("_range", at).drop("_bounds")  # one row
+    rows, before = [], 0
+    for k, n in sorted(tuple(r) for r in ranged.groupBy("_range").count().collect()):
+        rows.append((k, before))
+        before += n
+    offsets = spark.createDataFrame(rows, "_range int, _before long")
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.join(F.broadcast(offsets), "_range").withColumn("position", F.col("_before") + within).drop("_range", "_before")  # a row for each range
 
 
 def digest(df: DataFrame, places: int = 2) -> DataFrame:
