@@ -7,15 +7,18 @@ document labels how much each passage counts, and a logistic layer scores the
 attention-weighted passage representation.
 
 It learns from about ``PER_LABEL`` labelled rows of each label, drawn by id hash
-among those not held out, with at most ``TRAIN_PASSAGES`` evenly spaced passages
-of each; scoring encodes every passage of every text.  A null or wordless text
-is one empty passage.  Without labels of both kinds every score is the share of
+among those not held out; learning and scoring encode every passage.  The
+driver keeps the sample's passages in a file and learns from blocks of about
+``BLOCK`` passages, whose gradients are summed at each step.  A null or wordless
+text is one empty passage.  Without labels of both kinds every score is the share of
 label 1 (0.5 without any).  Rows without a doc_id are left out; rows that repeat
 an id are scored each; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +33,7 @@ from .storage import documents, read_table, small_batches
 
 PER_LABEL = 1500
 PASSAGE = 64
-TRAIN_PASSAGES = 64
+BLOCK = 1 << 15
 HIDDEN = 24
 GATES = 12
 EPOCHS = 220
@@ -109,11 +112,23 @@ class QualityModel:
         return sigmoid(self.forward(((rows - self.mean) / self.spread).astype(np.float32), n_pass)["logit"])
 
 
+def _blocks(n_pass: np.ndarray) -> Iterator[tuple[slice, slice]]:
+    """Whole bags of about ``BLOCK`` passages, and their rows."""
+    ends = np.cumsum(n_pass)
+    low = 0
+    while low < len(ends):
+        begin = int(ends[low] - n_pass[low])
+        high = max(low + 1, int(np.searchsorted(ends, begin + BLOCK, "right")))
+        yield slice(low, high), slice(begin, int(ends[high - 1]))
+        low = high
+
+
 def train(rows: np.ndarray, n_pass: np.ndarray, label: np.ndarray, share: float, epochs: int = EPOCHS, rate: float = 0.01, shrink: float = 1e-4) -> QualityModel:
     """Fit on bags; ``share`` is label 1's share among all labels, to which the sample is weighted."""
     rng = np.random.default_rng(_SEED)
-    mean, spread = rows.mean(0), rows.std(0) + 1e-3
-    x = ((rows - mean) / spread).astype(np.float32)
+    blocks = list(_blocks(n_pass))
+    mean = (sum(rows[of].sum(0, dtype=np.float64) for _, of in blocks) / len(rows)).astype(np.float32)
+    spread = (np.sqrt(sum(((rows[of] - mean) ** 2).sum(0, dtype=np.float64) for _, of in blocks) / len(rows)) + 1e-3).astype(np.float32)
 
     def start(*shape: int) -> np.ndarray:
         return (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
@@ -122,35 +137,36 @@ def train(rows: np.ndarray, n_pass: np.ndarray, label: np.ndarray, share: float,
     model, adam = QualityModel(params, mean, spread), Adam(params, rate)
     y = label.astype(np.float32)
     importance = np.where(y > 0, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9)) / len(y)
-    for _ in range(epochs):
-        f = model.forward(x, n_pass)
-        d_logit = (importance * (sigmoid(f["logit"]) - y)).astype(np.float32)
+    def gradients(bags: slice, of: slice) -> dict[str, np.ndarray]:
+        x, n = ((rows[of] - mean) / spread).astype(np.float32), n_pass[bags]
+        f = model.forward(x, n)
+        d_logit = (importance[bags] * (sigmoid(f["logit"]) - y[bags])).astype(np.float32)
         d_z = d_logit[:, None] * params["c"]
-        per = np.repeat(d_z, n_pass, axis=0)
+        per = np.repeat(d_z, n, axis=0)
         d_weight = (per * f["h"]).sum(1)
-        inner = np.repeat(np.add.reduceat(f["weight"] * d_weight, f["first"]), n_pass)
+        inner = np.repeat(np.add.reduceat(f["weight"] * d_weight, f["first"]), n)
         d_e = f["weight"] * (d_weight - inner)
         d_t, d_g = d_e[:, None] * params["a"] * f["g"] * (1 - f["t"] ** 2), d_e[:, None] * params["a"] * f["t"] * f["g"] * (1 - f["g"])
         d_h = f["weight"][:, None] * per + d_t @ params["v"].T + d_g @ params["u"].T
         d_in = d_h * (1 - f["h"] ** 2)
-        grads = {"w": x.T @ d_in, "wb": d_in.sum(0), "v": f["h"].T @ d_t, "u": f["h"].T @ d_g, "a": (f["t"] * f["g"]).T @ d_e, "c": f["z"].T @ d_logit, "b": np.array([d_logit.sum()])}
-        adam.step({k: g + shrink * params[k] * (k != "b") for k, g in grads.items()})
+        return {"w": x.T @ d_in, "wb": d_in.sum(0), "v": f["h"].T @ d_t, "u": f["h"].T @ d_g, "a": (f["t"] * f["g"]).T @ d_e, "c": f["z"].T @ d_logit, "b": np.array([d_logit.sum()])}
+
+    for _ in range(epochs):
+        grads = {k: shrink * p * (k != "b") for k, p in params.items()}
+        for bags, of in blocks:
+            for k, g in gradients(bags, of).items():
+                grads[k] = grads[k] + g
+        adam.step(grads)
     return model
 
 
-def _bag_rows(most: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offs = K.text_bytes(batch.column("text"))
-            for low, high in K.doc_blocks(offs):
-                feats, n = passage_features(data[offs[low] : offs[high]], offs[low : high + 1] - offs[low])
-                bags = []
-                for part in np.split(feats, np.cumsum(n)[:-1]):
-                    pick = np.unique(np.linspace(0, len(part) - 1, min(most, len(part))).round().astype(int))
-                    bags.append(part[pick].tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column("quality").slice(low, high - low), pa.array(bags, pa.binary())], ["quality", "bag"])
-
-    return rows
+def _bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offs = K.text_bytes(batch.column("text"))
+        for low, high in K.doc_blocks(offs):
+            feats, n = passage_features(data[offs[low] : offs[high]], offs[low : high + 1] - offs[low])
+            bags = [part.tobytes() for part in np.split(feats, np.cumsum(n)[:-1])]
+            yield pa.RecordBatch.from_arrays([batch.column("quality").slice(low, high - low), pa.array(bags, pa.binary())], ["quality", "bag"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> QualityModel | float:
@@ -164,11 +180,21 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Quali
     if good in (0, total):
         return good / total
     ids = sample_classes(marked, "quality", per_label, _SEED).select("doc_id", "quality")
-    sample = docs.join(F.broadcast(ids), "doc_id").select("quality", "text").repartition(12)  # ids: of bounded size
-    got = sample.mapInArrow(_bag_rows(TRAIN_PASSAGES), "quality int, bag binary").collect()
-    got.sort(key=lambda r: bytes(r[1]))  # the same order at every run
-    bags = [np.frombuffer(r[1], np.float32).reshape(-1, FEATURES) for r in got]
-    return train(np.concatenate(bags), np.array([len(b) for b in bags]), np.array([r[0] for r in got]), good / total)
+    sample = docs.join(F.broadcast(ids), "doc_id").select("quality", "text").repartition(48)  # ids: of bounded size
+    got = sample.mapInArrow(_bag_rows, "quality int, bag binary").toLocalIterator(prefetchPartitions=True)
+    with tempfile.TemporaryFile() as arrived, tempfile.TemporaryFile() as ordered:
+        found, at = [], 0
+        for label, bag in got:
+            arrived.write(bag)
+            found.append((hashlib.sha256(bag).digest(), label, at, len(bag)))
+            at += len(bag)
+        found.sort()  # the same order at every run
+        for _, _, at, size in found:
+            arrived.seek(at)
+            ordered.write(arrived.read(size))
+        ordered.flush()
+        rows = np.memmap(ordered, np.float32, "r").reshape(-1, FEATURES)
+        return train(rows, np.array([f[3] // (4 * FEATURES) for f in found]), np.array([f[1] for f in found]), good / total)
 
 
 def _score_rows(model: QualityModel):

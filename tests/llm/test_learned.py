@@ -127,6 +127,36 @@ def test_passages_cover_every_word():
     assert rows.shape == (8, op7.FEATURES) and np.isfinite(rows).all()
 
 
+def test_learning_sees_every_passage(spark, monkeypatch):
+    rng = random.Random(16)
+    texts, labels = [], []
+    for k in range(60):
+        words = [rng.choice("abcdefghij") * rng.randint(1, 3) for _ in range(100 * op7.PASSAGE)]
+        if k % 2:
+            words[4 * op7.PASSAGE : 5 * op7.PASSAGE] = ["###$$$%%%"] * op7.PASSAGE
+        texts.append((k, " ".join(words)))
+        labels.append((k, 1 - k % 2))
+    docs, labels = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    seen = []
+    learn = op7.train
+    monkeypatch.setattr(op7, "train", lambda rows, n_pass, *rest: (seen.extend(n_pass), learn(rows, n_pass, *rest))[1])
+    model = op7.fit(docs.where("doc_id % 3 <> 0"), labels)
+    assert seen == [100] * 40
+    got = {r.doc_id: r.score for r in op7.score(docs, model).collect()}
+    assert all((got[d] >= 0.5) == (d % 2 == 0) for d in range(0, 60, 3))
+
+
+def test_blocks_of_bags_give_the_same_model(monkeypatch):
+    rng = np.random.default_rng(17)
+    rows, n_pass, label = rng.standard_normal((30, 6)).astype(np.float32), np.array([3, 5, 1, 8, 6, 7]), np.array([0, 1, 1, 0, 1, 0])
+    whole = op7.train(rows, n_pass, label, 0.5, epochs=20)
+    for block in (1, 6, 9):
+        monkeypatch.setattr(op7, "BLOCK", block)
+        assert sum(b.stop - b.start for b, _ in op7._blocks(n_pass)) == 6 and len(list(op7._blocks(n_pass))) > 1
+        parts = op7.train(rows, n_pass, label, 0.5, epochs=20)
+        assert all(np.allclose(parts.params[k], whole.params[k], atol=1e-3) for k in whole.params)
+
+
 def test_scores_on_awkward_rows(spark, docs, odd_docs, no_docs):
     train, labels, _ = corpus(spark, 200)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
