@@ -15,9 +15,12 @@ starts anywhere else, in the same document or another, is removed.
 4. Windows of a salted anchor that are alone in their shard are settled by
    counting their 128-bit hashes over all shards.
 
-A null text and a text without words have no windows.  Rows without a doc_id
-are left out; rows that repeat an id are repeats of each other.  An empty table
-gives an empty result; other columns are ignored.
+Inside, a row's name is its doc_id and its ``mark``, a hash of its text: rows that
+repeat an id with another text are documents of their own, and rows that agree in
+both are copies, whose windows all recur.  A text may have any length; equal least
+hashes are settled by the leftmost.  A null text and a text without words have no
+windows.  Rows without a doc_id are left out.  An empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -68,30 +71,29 @@ def _anchor_rows(window: int, gram: int, hot: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = K.text_bytes(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, marks = (batch.column(c).to_numpy() for c in ("doc_id", "mark"))
             parts = []
             for low, high in K.doc_blocks(offs):
                 words = K.split_words(data[offs[low] : offs[high]], offs[low : high + 1] - offs[low])
                 _, at, grams = _window_anchors(words, window, gram)
                 at = at[np.diff(at, prepend=-1) != 0]
                 doc = words.doc[at]
-                parts.append((grams[at], ids[low + doc], (at - words.first[doc]).astype(np.int32)))
+                parts.append((grams[at], ids[low + doc], marks[low + doc], (at - words.first[doc]).astype(np.int32)))
             if not parts or not sum(len(p[0]) for p in parts):
                 continue
-            key, doc, pos = (np.concatenate(p) for p in zip(*parts, strict=True))
+            key, doc, mark, pos = (np.concatenate(p) for p in zip(*parts, strict=True))
             new, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
             apart = count[inverse] >= hot
-            seed = K.mix(np.array([int(doc[0]) + 1], np.int64).view(K.U64))  # another one for each batch
+            seed = K.combine(doc[:1].view(K.U64), mark[:1].view(K.U64))  # another one for each batch
             known = new[count >= hot]
             n = len(known)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(K.signed(np.concatenate([np.where(apart, K.combine(key, np.broadcast_to(seed, key.shape)), key), known]))),
                     pa.array(np.concatenate([np.where(apart, APART, PLAIN), np.full(n, NOTICE)]).astype(np.int32)),
-                    pa.array(np.concatenate([doc, np.zeros(n, doc.dtype)])),
-                    pa.array(np.concatenate([pos, np.zeros(n, np.int32)])),
+                    *[pa.array(np.concatenate([x, np.zeros(n, x.dtype)])) for x in (doc, mark, pos)],
                 ],
-                ["key", "kind", "doc_id", "pos"],
+                ["key", "kind", "doc_id", "mark", "pos"],
             )
 
     return rows
@@ -122,8 +124,8 @@ def _recurring(salt_rows: int):
             part = table.filter(pa.array(keep)).combine_chunks()
             salt = rank[keep] // salt_rows + np.where(kind[keep] == APART, (key[keep] & 0x3FFFFFFF) + 1, 0)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").combine_chunks(), part.column("pos").combine_chunks(), pa.array(salt.astype(np.int32)), pa.array((size[keep] > salt_rows) | noticed[keep])],
-                ["doc_id", "pos", "salt", "split"],
+                [*[part.column(c).combine_chunks() for c in ("doc_id", "mark", "pos")], pa.array(salt.astype(np.int32)), pa.array((size[keep] > salt_rows) | noticed[keep])],
+                ["doc_id", "mark", "pos", "salt", "split"],
             )
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +160,7 @@ def _context_rows(window: int, gram: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = K.text_bytes(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, marks = (batch.column(c).to_numpy() for c in ("doc_id", "mark"))
             hits = batch.column("hits")
             h_offs = hits.offsets.to_numpy()
             flat = hits.values
@@ -185,10 +187,11 @@ def _context_rows(window: int, gram: int):
                             pa.array(salt[own][known].astype(np.int32)),
                             pa.array(split[own][known]),
                             pa.array(ids[low + doc]),
+                            pa.array(marks[low + doc]),
                             pa.array((first - words.first[doc]).astype(np.int32)),
                             pa.array(texts, pa.binary()),
                         ],
-                        ["anchor", "salt", "split", "doc_id", "first", "context"],
+                        ["anchor", "salt", "split", "doc_id", "mark", "first", "context"],
                     )
 
     return rows
@@ -213,7 +216,7 @@ def _locate(window: int, shard_rows: int):
     of windows to be settled over all shards (kind 1).
     """
 
-    def shard(contexts: list[bytes], doc: np.ndarray, first: np.ndarray, split: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def shard(contexts: list[bytes], doc: np.ndarray, mark: np.ndarray, first: np.ndarray, split: np.ndarray) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         ids = [[known.setdefault(w, len(known)) for w in c.split(b" ")] for c in contexts]
         size = np.array([len(x) for x in ids])
@@ -245,7 +248,7 @@ def _locate(window: int, shard_rows: int):
             twice = np.bincount(p, minlength=passages)[p] > 1
             k, at = k[twice], at[twice]
             zeros = np.zeros(len(k), np.int64)
-            yield _located(0, doc[k], first[k] + at, zeros, zeros)
+            yield _located(0, doc[k], mark[k], first[k] + at, zeros, zeros)
         rest = split[ctx]
         if rest.any():  # alone here, or the first of those that recur here
             rep = np.zeros(len(ctx), dtype=bool)
@@ -253,51 +256,43 @@ def _locate(window: int, shard_rows: int):
             w = np.flatnonzero(rest & rep)
             names = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in known), dtype=np.int64).reshape(-1, 2)
             h = [K.signed(K.gram_hashes(K.mix(names[flat, j].astype(K.U64)), window)[where[w]]) for j in (0, 1)]
-            yield _located(1, doc[ctx[w]], first[ctx[w]] + off[w], *h)
+            yield _located(1, doc[ctx[w]], mark[ctx[w]], first[ctx[w]] + off[w], *h)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        table = pa.Table.from_batches(got)
-        anchor, salt = table.column("anchor").to_numpy(), table.column("salt").to_numpy()
-        order = np.lexsort((salt, anchor))
-        a, s = anchor[order], salt[order]
-        edges = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (s[1:] != s[:-1])]))
-        edges = np.append(edges, len(a))
-        low = 0
-        while low < len(a):
-            high = edges[max(np.searchsorted(edges, low + shard_rows, "right") - 1, np.searchsorted(edges, low, "right"))]
-            part = table.take(pa.array(order[low:high]))
-            yield from shard(part.column("context").to_pylist(), part.column("doc_id").to_numpy(), part.column("first").to_numpy(), part.column("split").to_numpy(zero_copy_only=False))
-            low = high
+        for table in K.whole_groups(batches, ["anchor", "salt"], shard_rows):
+            yield from shard(table.column("context").to_pylist(), *[table.column(c).to_numpy() for c in ("doc_id", "mark", "first", "split")])
 
     return rows
 
 
-def _located(kind: int, doc: np.ndarray, start: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> pa.RecordBatch:
+def _located(kind: int, doc: np.ndarray, mark: np.ndarray, start: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(doc), kind, np.int32)), pa.array(doc.astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(h1), pa.array(h2)],
-        ["kind", "doc_id", "start", "h1", "h2"],
+        [pa.array(np.full(len(doc), kind, np.int32)), pa.array(doc), pa.array(mark), pa.array(start.astype(np.int32)), pa.array(h1), pa.array(h2)],
+        ["kind", "doc_id", "mark", "start", "h1", "h2"],
     )
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, salt_rows: int = SALT_ROWS, shard_rows: int = SHARD_ROWS, hot: int = HOT) -> DataFrame:
-    """``(doc_id, start)`` of windows that together cover all recurring ones.
+    """``(doc_id, mark, start)`` of windows that together cover all recurring ones.
 
     ``start`` counts words; each row stands for ``window`` words from there.
     """
     if not 1 <= gram <= window or window < 2:
         raise ValueError("gram must be between 1 and window, window at least 2")
-    docs = documents(docs)
-    anchors = docs.mapInArrow(_anchor_rows(window, gram, hot), "key long, kind int, doc_id long, pos int")
-    recurring = anchors.repartition("key").sortWithinPartitions("key", F.desc("kind")).mapInArrow(_recurring(salt_rows), "doc_id long, pos int, salt int, split boolean")
-    hits = recurring.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "salt", "split"))).alias("hits"))
-    contexts = docs.join(hits, "doc_id").select("doc_id", "text", "hits").mapInArrow(_context_rows(window, gram), "anchor long, salt int, split boolean, doc_id long, first int, context binary")
-    found = materialise(contexts.repartition("anchor", "salt").mapInArrow(_locate(window, shard_rows), "kind int, doc_id long, start int, h1 long, h2 long"), "op1-located")
+    docs = _marked(docs)
+    anchors = docs.mapInArrow(_anchor_rows(window, gram, hot), "key long, kind int, doc_id long, mark long, pos int")
+    recurring = anchors.repartition("key").sortWithinPartitions("key", F.desc("kind")).mapInArrow(_recurring(salt_rows), "doc_id long, mark long, pos int, salt int, split boolean")
+    hits = recurring.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("pos", "salt", "split"))).alias("hits"))
+    contexts = docs.join(hits, ["doc_id", "mark"]).select("doc_id", "mark", "text", "hits").mapInArrow(_context_rows(window, gram), "anchor long, salt int, split boolean, doc_id long, mark long, first int, context binary")
+    shards = contexts.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
+    found = materialise(shards.mapInArrow(_locate(window, shard_rows), "kind int, doc_id long, mark long, start int, h1 long, h2 long"), "op1-located")
     alone = found.where("kind = 1")
     twice = alone.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    return found.where("kind = 0").select("doc_id", "start").union(alone.join(twice, ["h1", "h2"]).select("doc_id", "start"))
+    return found.where("kind = 0").select("doc_id", "mark", "start").union(alone.join(twice, ["h1", "h2"]).select("doc_id", "mark", "start"))
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    return documents(docs).withColumn("mark", F.xxhash64("text"))
 
 
 def _cut(window: int):
@@ -331,8 +326,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, **options: int) -> Dat
 
     ``kept`` is the UTF-8 text of the remaining words, joined by one space.
     """
-    starts = repeated_windows(docs, window, **options).groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
-    joined = documents(docs).join(starts, "doc_id", "left").select("doc_id", "text", "starts")
+    starts = repeated_windows(docs, window, **options).groupBy("doc_id", "mark").agg(F.collect_set("start").alias("starts"))
+    joined = _marked(docs).join(starts, ["doc_id", "mark"], "left").select("doc_id", "text", "starts")
     return joined.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept binary")
 
 

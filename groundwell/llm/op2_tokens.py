@@ -16,10 +16,12 @@ seeks to the frames that hold the wanted documents and decompresses no others.
 
 Encoding is by the tokenizers library, on distinct pieces: its byte-level
 pre-tokeniser splits a text where :mod:`pieces` does, and no merge crosses a
-split, so a text's ids are its pieces' ids in turn.  Strings of special tokens
-are ordinary text.  A null text is the empty text; every document ends with
-``end_id``.  Rows without a doc_id are left out; rows that repeat an id are
-written each, in any order; an empty table gives no file; other columns are ignored.
+split, so a text's ids are its pieces' ids in turn.  Texts that hold the string of
+an added token (``<|endoftext|>``) are encoded whole, as the library does by default.
+A null text is the empty text; every document ends with ``end_id``.  Rows without
+a doc_id are left out; rows that repeat an id are written each, in the order of
+their texts' hashes, then texts.  A text of any length is one entry of one frame.
+An empty table gives no file; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,6 +52,8 @@ FRAME_BYTES = 1 << 17
 #: Level of the data frames.
 LEVEL = 1
 
+#: Bytes of text for each file, about; there are as many files as that takes, or tasks that run at once.
+FILE_BYTES = 256 << 20
 #: Pieces that are encoded in one text.
 LINES = 2000
 
@@ -67,8 +71,6 @@ def coder(path: str) -> PieceCoder:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-
     (line_end,) = tokenizer.encode("\n", add_special_tokens=False).ids
 
     def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +94,29 @@ def coder(path: str) -> PieceCoder:
         size, begin = size[place], begin[place]
         return size, flat[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
 
-    return PieceCoder(encode)
+    return LibraryCoder(tokenizer, encode)
+
+
+class LibraryCoder(PieceCoder):
+    """Ids by pieces; of texts with added tokens, by the library at once."""
+
+    def __init__(self, tokenizer, encode) -> None:
+        super().__init__(encode)
+        self.tokenizer = tokenizer
+        self.added = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
+
+    def documents(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a block's documents and each document's first id."""
+        ids, first, _, _ = self.block(data, offs)
+        raw = data.tobytes()
+        if not any(a in raw for a in self.added):
+            return ids, first
+        texts = [raw[a:b] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+        whole = [k for k, t in enumerate(texts) if any(a in t for a in self.added)]
+        parts = np.split(ids, first[1:-1])
+        for k, e in zip(whole, self.tokenizer.encode_batch_fast([texts[k].decode() for k in whole], add_special_tokens=False), strict=True):
+            parts[k] = np.array(e.ids, ids.dtype)
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
 
 
 class FrameWriter:
@@ -204,7 +228,7 @@ def _write_rows(folder: str, tokenizer: str, end_id: int):
                     fs.create_dir(path, recursive=True)
                     out = fs.open_output_stream(f"{path}/_{index:06d}-{attempt}")
                     writer, low_id = FrameWriter(out), int(ids[0])
-                tokens, first, _, _ = coder(tokenizer).block(data[offs[low] : offs[high]], offs[low : high + 1] - offs[low])
+                tokens, first = coder(tokenizer).documents(data[offs[low] : offs[high]], offs[low : high + 1] - offs[low])
                 n = high - low
                 full = np.insert(tokens, first[1:], end_id)
                 writer.add(ids[low:high], full, first + np.arange(n + 1))
@@ -219,13 +243,17 @@ def _write_rows(folder: str, tokenizer: str, end_id: int):
     return rows
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> list[dict]:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> list[dict]:
     """Write the ids of all documents under ``folder``; the manifest, one row a file, in order.
 
     ``folder`` is a URI that every executor can write.  Documents are dealt into
-    files by ranges of doc_id.
+    files by ranges of doc_id; rows that repeat an id may take several.
     """
-    ordered = documents(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    docs = documents(docs)
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_files = max(docs.sparkSession.sparkContext.defaultParallelism, -(-n_bytes // file_bytes))
+    order = ("doc_id", F.xxhash64("text"), "text")
+    ordered = docs.repartitionByRange(n_files, *order[:2]).sortWithinPartitions(*order)
     written = ordered.mapInArrow(_write_rows(folder, tokenizer, end_id), "file_index int, file string, first_id long, last_id long, n_docs long, n_tokens long")
     files = sorted((r.asDict() for r in written.collect()), key=lambda r: r["file_index"])
     before = 0

@@ -40,9 +40,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Keep Arrow batches of long texts small, so Python workers stay small."""
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -> None:
+    """Bound Arrow batches by rows and bytes, so Python workers stay small.
+
+    Spark reads these two settings when a query begins to run, so they stay set
+    in the session that the caller gives.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def documents(df: DataFrame, *more: str) -> DataFrame:

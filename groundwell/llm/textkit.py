@@ -185,3 +185,31 @@ def list_column(counts: np.ndarray, values: pa.Array) -> pa.ListArray:
     offsets = np.zeros(len(counts) + 1, dtype=np.int32)
     np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
+    """Batches sorted by ``keys`` as tables of whole groups, of about ``rows`` rows unless one group has more.
+
+    Streams: no more than one such table and one batch are held.
+    """
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n < rows:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        cut = 0  # where the last group begins
+        change = np.zeros(n, dtype=bool)
+        for k in keys:
+            value = table.column(k).to_numpy()
+            change[1:] |= value[1:] != value[:-1]
+        if change.any():
+            cut = int(np.flatnonzero(change)[-1])
+            yield table.slice(0, cut).combine_chunks()
+        held, n = table.slice(cut).combine_chunks().to_batches(), n - cut
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

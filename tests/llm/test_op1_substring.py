@@ -4,9 +4,12 @@ import collections
 import hashlib
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from groundwell.llm import op1_substring as op
+from groundwell.llm import textkit as K
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -40,6 +43,36 @@ def test_odd_ids_and_empty_tables(odd_docs, no_docs):
     assert op.remove_repeats(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("options", [{}, {"salt_rows": 3, "hot": 2, "shard_rows": 5}])
+def test_rows_that_repeat_an_id_are_documents_of_their_own(spark, options):
+    shared, other = [f"w{k}" for k in range(50)], [f"v{k}" for k in range(70)]
+    rows = [
+        (1, " ".join(shared)),
+        (1, " ".join(other[:60])),  # recurs nowhere
+        (2, " ".join(["x", *shared, "y"])),
+        (3, " ".join(["z"] + other[62:] + ["q"] * 20)),
+        (4, " ".join(f"u{k}" for k in range(40))),  # a true copy
+        (4, " ".join(f"u{k}" for k in range(40))),
+        (5, "short"),
+        (5, None),
+    ]
+    want = sorted((rows[k][0], *v) for k, v in brute({k: t for k, (_, t) in enumerate(rows)}, 35).items())
+    got = sorted((r.doc_id, r.n_words, r.n_removed, bytes(r.kept).decode()) for r in op.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect())
+    assert got == want
+    assert sorted(x[2] for x in got) == [0, 0, 0, 0, 40, 40, 50, 50]
+
+
+def test_groups_are_whole_in_a_stream():
+    rng = np.random.default_rng(3)
+    key = np.sort(rng.integers(0, 40, 500))
+    batches = [pa.RecordBatch.from_arrays([pa.array(key[a : a + 7]), pa.array(np.arange(a, min(a + 7, 500)))], ["key", "n"]) for a in range(0, 500, 7)]
+    for rows in (1, 20, 10_000):
+        tables = list(K.whole_groups(iter(batches), ["key"], rows))
+        assert np.concatenate([t.column("n").to_numpy() for t in tables]).tolist() == list(range(500))
+        assert sum(len(np.unique(t.column("key").to_numpy())) for t in tables) == len(np.unique(key))
+    assert list(K.whole_groups(iter([]), ["key"], 5)) == []
+
+
 def test_query_digest(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     want = {d: (n, gone, hashlib.sha256(kept.encode()).hexdigest()) for d, (n, gone, kept) in brute(texts, 35).items()}

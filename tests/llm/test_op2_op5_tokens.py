@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import random
 import zlib
 
@@ -29,9 +30,7 @@ def fuzz(n: int) -> list[str]:
 
 @pytest.fixture(scope="module")
 def library():
-    tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(JSON)
 
 
 @pytest.fixture(scope="module")
@@ -50,10 +49,20 @@ def block_ids(coder, texts: list[str]) -> list[list[int]]:
     return out
 
 
+def document_ids(texts: list[str]) -> list[list[int]]:
+    out = []
+    data, offs = K.text_bytes(pa.array(texts))
+    for a, b in K.doc_blocks(offs, 50_000):
+        ids, first = op2.coder(JSON).documents(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+        out.extend(ids[first[k] : first[k + 1]].tolist() for k in range(b - a))
+    return out
+
+
 def test_ids_are_the_libraries_ids_on_awkward_texts(library, reference):
     texts = fuzz(4000)
     assert block_ids(op5.coder(RANKS), texts) == [reference.encode_ordinary(t) for t in texts]
-    assert block_ids(op2.coder(JSON), texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert document_ids(texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert document_ids(["a<|endoftext|>b"]) == [[64, 50256, 65]]
 
 
 def test_merging_side_by_side_is_merging_one_by_one():
@@ -127,6 +136,8 @@ def test_odd_ids_and_empty_tables(spark, odd_docs, no_docs):
     folder = fresh_path(spark, "test-tokens")
     files = op2.write_token_files(odd_docs, folder, JSON)
     assert sorted(r.doc_id for r in op2.read_token_files(spark, folder, files).collect()) == [1, 1, 2, 3, 3]
+    files = op2.write_token_files(odd_docs, fresh_path(spark, "test-tokens"), JSON, file_bytes=64)
+    assert len(files) > 1 and [f["start"] for f in files] == sorted(f["start"] for f in files)
     assert op2.write_token_files(no_docs, fresh_path(spark, "test-tokens"), JSON) == []
     assert sorted(r.doc_id for r in op5.encode(odd_docs, RANKS).collect()) == [1, 1, 2, 3, 3]
     assert op5.encode(no_docs, RANKS).count() == 0
@@ -136,4 +147,18 @@ def test_queries(spark, sf, library, reference):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     want = {d: (s, len(ids) // 4, zlib.crc32(ids)) for d, (s, ids) in expected(texts, library).items()}
     assert {r[0]: tuple(r[1:4]) for r in op2.query(spark, sf).collect()} == want
-    assert {r.doc_id: r.n_tokens for r in op5.query(spark, sf).collect()} == {d: len(reference.encode_ordinary(t)) for d, t in texts.items()}
+    ids = {d: np.array(reference.encode_ordinary(t or ""), "<u4") for d, t in texts.items()}
+    want = {d: (len(x), hashlib.sha256(x.tobytes()).hexdigest(), hashlib.sha256((texts[d] or "").encode()).hexdigest()) for d, x in ids.items()}
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in op5.query(spark, sf).collect()} == want
+
+
+def test_repeated_ids_have_one_order(spark, library):
+    rows = [(5, f"text {k} " * 3) for k in range(40)] + [(k, f"<|endoftext|> {k}") for k in range(10)]
+    found = []
+    for n in (1, 7):
+        folder = fresh_path(spark, "test-tokens")
+        files = op2.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), folder, JSON)
+        found.append(sorted((r.start, r.doc_id, bytes(r.ids)) for r in op2.read_token_files(spark, folder, files).collect()))
+    assert found[0] == found[1]
+    assert [d for _, d, _ in found[0]] == sorted(d for d, _ in rows)
+    assert sorted(x for _, _, x in found[0]) == sorted(np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes() for _, t in rows)
