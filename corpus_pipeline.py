@@ -48,8 +48,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that share no window with the benchmark."""
     found = op6_decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
-    hit = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(hit.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    hit = found.where("contaminated").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    same = (docs["doc_id"].cast("long") == hit["_id"]) & (F.xxhash64(docs["text"].cast("string")) == hit["_mark"])
+    return docs.join(hit.hint("merge"), same, "left_anti").select(*docs.columns)
 
 
 def _redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
