@@ -10,15 +10,20 @@ is at least ``THRESHOLD``.
    Hadamard transforms), then the axis of the largest coordinate and its sign
    (Andoni et al., 2015).  A vector is stored in its own bucket of each table
    and looked for in the ``PROBES`` likeliest ones.
-3. In a bucket all stored vectors are compared with all that probe it; a pair
-   is counted in the first table where it meets, and only counts and spanning
-   edges leave the bucket.
-
-Buckets of more than ``CHUNK`` vectors are dealt into tiles, so no task holds a
-whole one and nothing is left out.  Vectors that are null, zero, or hold null or
-non-finite components, and those with a null label, link with nothing; vectors
-of different lengths do not link.  Rows without a vec_id are left out; rows that
-repeat an id are one vector each.  Other columns are ignored.
+3. Buckets are formed from ids alone.  Only of those in which two classes meet
+   are the vectors fetched, once for each class and tile.  All stored vectors are
+   compared with all that probe the bucket; a pair is counted in the first table
+   where it meets, and only counts and spanning edges leave the bucket.
+
+Buckets are dealt into tiles of ``CHUNK`` vectors to a side, so no task holds a
+whole one and nothing is left out.  A pair that meets in no bucket is missed: at
+cosine 0.98, measured against brute force, less than one in a thousand.
+
+Classes are told by two independent 64-bit hashes.  Vectors that are null, zero,
+or hold null or non-finite components, and those with a null label, link with
+nothing; vectors of different lengths do not link.  Of ties the least id counts.
+Rows without a vec_id are left out; rows that repeat an id are one vector each.
+An empty table gives an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textkit as K
 from .components import connected_components
 from .storage import materialise, read_table, small_batches
 
@@ -37,7 +43,9 @@ THRESHOLD = 0.98
 TABLES = 6
 HASHES = 2
 PROBES = 4
-CHUNK = 1024
+CHUNK = 256
+#: Rows of whole tiles that a task holds at a time.
+HELD = 4096
 
 _SEED = 31
 
@@ -90,31 +98,22 @@ def _unit_rows(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at, rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def _hash_rows(tables: int, hashes: int, probes: int):
+def _code_rows(tables: int, hashes: int, probes: int):
+    """Unit vectors and their codes, table by table, the likeliest first."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label, ids, n = (batch.column(c).to_numpy() for c in ("label", "rep", "n"))
             for at, unit in _unit_rows(batch.column("embedding")):
-                codes = np.stack([probe_codes(unit, t, hashes, probes) for t in range(tables)], axis=1)  # row, table, probe
-                p = codes.shape[2]
-                row = np.repeat(np.arange(len(at)), tables * p)
-                table = np.tile(np.repeat(np.arange(tables), p), len(at))
-                rank = np.tile(np.arange(p), len(at) * tables)
-                packed = pa.array([x.tobytes() for x in unit], pa.binary()).take(pa.array(row))
-                all_codes = pa.array([x.tobytes() for x in codes], pa.binary()).take(pa.array(row))
+                codes = np.stack([probe_codes(unit, t, hashes, probes) for t in range(tables)], axis=1).reshape(len(at), -1)
+                pick = pa.array(at)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(label[at][row].astype(np.int64)),
-                        pa.array(table.astype(np.int32)),
-                        pa.array(codes.reshape(-1)),
-                        pa.array(rank == 0),
-                        pa.array(ids[at][row]),
-                        pa.array(n[at][row]),
-                        pa.array(np.full(len(row), unit.shape[1], np.int32)),
-                        packed,
-                        all_codes,
+                        *[batch.column(c).take(pick) for c in ("label", "rep", "n")],
+                        pa.array(np.full(len(at), unit.shape[1], np.int32)),
+                        pa.array([x.tobytes() for x in unit], pa.binary()),
+                        K.list_column(np.full(len(at), codes.shape[1]), pa.array(codes.reshape(-1))),
                     ],
-                    ["label", "table", "bucket", "stored", "rep", "n", "dim", "vector", "codes"],
+                    ["label", "rep", "n", "dim", "vector", "codes"],
                 )
 
     return rows
@@ -158,37 +157,34 @@ def _local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[moved], ids[root[moved]]
 
 
+PLACE = ["label", "dim", "table", "bucket"]
+STORED, PROBING, BOTH = range(3)
+
+
 def _bucket_rows(threshold: float, tables: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        table = pa.Table.from_batches(got).combine_chunks()
-        keys = [table.column(c).to_numpy() for c in ("b", "a", "bucket", "table", "dim", "label")]
-        order = np.lexsort(keys)
-        change = np.zeros(len(order), dtype=bool)
-        change[0] = True
-        for k in keys:
-            change[1:] |= k[order][1:] != k[order][:-1]
-        edges = np.append(np.flatnonzero(change), len(order))
-        stored = table.column("stored").to_numpy(zero_copy_only=False).astype(bool)
-        role = table.column("role").to_numpy()
-        ids, n, of_table = (table.column(c).to_numpy() for c in ("rep", "n", "table"))
+    def tiles(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        keys = [table.column(c).to_numpy() for c in [*PLACE, "a", "b"]]
+        change = np.ones(table.num_rows, dtype=bool)
+        change[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        edges = np.append(np.flatnonzero(change), table.num_rows)
+        role, ids, n, of_table = (table.column(c).to_numpy() for c in ("role", "rep", "n", "table"))
         vector, codes = table.column("vector").combine_chunks(), table.column("codes").combine_chunks()
+        flat = codes.flatten().to_numpy().reshape(table.num_rows, tables, -1)
 
         def part(at: np.ndarray) -> dict:
-            pick = pa.array(at)
-            unit = np.frombuffer(b"".join(vector.take(pick).to_pylist())).reshape(len(at), -1)
-            return {"id": ids[at], "n": n[at], "unit": unit, "codes": np.frombuffer(b"".join(codes.take(pick).to_pylist()), np.int64).reshape(len(at), tables, -1)}
+            unit = np.frombuffer(b"".join(vector.take(pa.array(at)).to_pylist())).reshape(len(at), -1)
+            return {"id": ids[at], "n": n[at], "unit": unit, "codes": flat[at]}
 
         found: list[list[np.ndarray]] = [[], [], [], []]
         for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            at = order[low:high]
-            s, q = at[role[at] == 0], at[role[at] == 1]
-            if not len(s) or not len(q) or (len(s) == len(q) == 1 and ids[s[0]] == ids[q[0]]):
+            if high - low < 2:
+                continue
+            at = np.arange(low, high)
+            s, q = at[role[at] != PROBING], at[role[at] != STORED]
+            if not len(s) or not len(q):
                 continue
             store, probe = part(s), part(q)
-            i, j = _compare(store, probe, int(of_table[s[0]]), threshold)
+            i, j = _compare(store, probe, int(of_table[low]), threshold)
             if len(i):
                 found[0].append(probe["id"][i])
                 found[1].append(store["id"][j])
@@ -201,6 +197,10 @@ def _bucket_rows(threshold: float, tables: int):
             u, v = _local_roots(a, b)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([who, u])), pa.array(np.concatenate([links, np.zeros(len(u), np.int64)])), pa.array(np.concatenate([who, v]))], ["id", "links", "other"])
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in K.whole_groups(batches, [*PLACE, "a", "b"], HELD):
+            yield from tiles(table)
+
     return rows
 
 
@@ -210,21 +210,29 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
     finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
     usable = F.coalesce(F.col("label").isNotNull() & finite, F.lit(False))
     vectors = vectors.withColumn("usable", usable).withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0)))
-    mark = F.when(F.col("usable"), F.struct("label", F.xxhash64("embedding").alias("h1"), F.xxhash64("embedding", F.lit(1)).alias("h2")))
+    mark = F.when(F.col("usable"), F.struct("label", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2")))
     vectors = vectors.withColumn("mark", mark)
     classes = vectors.where("usable").groupBy("mark").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     classes = materialise(classes, "op3-classes")
-    heads = vectors.where("usable").join(classes, "mark").where("vec_id = rep").dropDuplicates(["rep"]).select("label", "rep", "n", "embedding")
-    hashed = materialise(heads.mapInArrow(_hash_rows(tables, hashes, probes), "label long, table int, bucket long, stored boolean, rep long, n long, dim int, vector binary, codes binary"), "op3-hashed")
-    place = ["label", "dim", "table", "bucket"]
-    sizes = hashed.groupBy(place).agg(F.count("*").alias("m"), F.sum(F.col("stored").cast("int")).alias("s")).where("m > 1 and s > 0")
-    sizes = sizes.select(*place, (F.floor((F.col("m") - 1) / chunk) + 1).cast("int").alias("tiles"))
-    met = hashed.join(sizes, place)
-    own = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
-    every = F.sequence(F.lit(0), F.col("tiles") - 1)
-    store = met.where("stored").withColumn("role", F.lit(0)).withColumn("a", own).withColumn("b", F.explode(every))
-    probe = met.withColumn("role", F.lit(1)).withColumn("b", own).withColumn("a", F.explode(every))
-    found = store.unionByName(probe).repartition(*place, "a", "b").mapInArrow(_bucket_rows(threshold, tables), "id long, links long, other long")
+    heads = vectors.where("usable").join(classes.select(F.col("mark").alias("of"), "rep", "n"), (F.col("mark") == F.col("of")) & (F.col("vec_id") == F.col("rep")))  # dealt by both, so copies do not meet
+    heads = heads.dropDuplicates(["mark"]).select("label", "rep", "n", "embedding")
+    coded = materialise(heads.mapInArrow(_code_rows(tables, hashes, probes), "label long, rep long, n long, dim int, vector binary, codes array<long>"), "op3-coded")
+    entries = coded.select("label", "dim", F.col("rep"), (F.size("codes") / tables).cast("int").alias("width"), F.posexplode("codes").alias("at", "bucket"))
+    entries = entries.select("label", "dim", F.floor(F.col("at") / F.col("width")).cast("int").alias("table"), "bucket", (F.col("at") % F.col("width") == 0).alias("stored"), "rep")
+    sizes = entries.groupBy(PLACE).agg(F.count("*").alias("m"), F.sum(F.col("stored").cast("int")).alias("s")).where("m > 1 and s > 0")
+    sizes = sizes.select(*PLACE, (F.floor((F.col("m") - 1) / chunk) + 1).cast("int").alias("tiles"))
+    met = entries.join(sizes, PLACE).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+
+    def tile(other: Column) -> Column:
+        """Where a vector goes for one chunk of its bucket: it probes that chunk, and is stored for the chunk's probes."""
+        own, same = F.col("own"), other == F.col("own")
+        probing = F.struct(other.alias("a"), own.alias("b"), F.when(F.col("stored") & same, BOTH).otherwise(PROBING).alias("role"))
+        storing = F.struct(own.alias("a"), other.alias("b"), F.lit(STORED).alias("role"))
+        return F.when(F.col("stored") & ~same, F.array(probing, storing)).otherwise(F.array(probing))
+
+    tiled = met.select(*PLACE, "rep", F.inline(F.flatten(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), tile))))
+    fetched = tiled.join(coded.select("rep", "n", "vector", "codes").hint("merge"), "rep")
+    found = fetched.repartition(*PLACE, "a", "b").sortWithinPartitions(*PLACE, "a", "b").mapInArrow(_bucket_rows(threshold, tables), "id long, links long, other long")
     found = materialise(found, "op3-links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     components = connected_components(found.where("id <> other").select(F.col("id").alias("u"), F.col("other").alias("v")))

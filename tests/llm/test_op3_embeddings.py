@@ -81,6 +81,36 @@ def test_recall_against_all_pairs_on_noisy_vectors():
     assert met[wanted].mean() >= 0.95
 
 
+@pytest.mark.parametrize("width", [64, 256])
+def test_the_query_on_vectors_with_links(spark, tmp_path, width):
+    rng = np.random.default_rng(width)
+    rows, centres = [], rng.standard_normal((120, width))
+    for k in range(1500):
+        v = centres[k % 120] + rng.choice([0.02, 0.1, 0.14, 0.18]) * rng.standard_normal(width)  # cosines on both sides of 0.98
+        rows.append((0, v.astype(np.float32).tolist(), "x", int(k % 2), k, 1))
+    rows += [(0, rows[5][1], "x", rows[5][3], 1500 + k, 1) for k in range(30)]
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in op.query(spark, str(tmp_path)).collect()}
+    want = brute(rows)
+    assert got.keys() == want.keys()
+    assert all(got[v][0] <= want[v][0] for v in got)
+    total = sum(x[0] for x in want.values())
+    recall = sum(x[0] for x in got.values()) / total
+    print(f"recall of links at cosine 0.98 and more, {width} components: {recall:.4f} of {total // 2}")
+    assert total > 2000
+    assert recall >= 0.99
+    assert sum(got[v][1] == want[v][1] for v in got) >= 0.99 * len(got)
+
+
+def test_classes_are_told_by_independent_hashes(spark):
+    df = spark.createDataFrame([(0, [float(k), 1.0, -2.5 * k], "", 1, k, 0) for k in range(50)], SCHEMA)
+    from pyspark.sql import functions as F
+
+    pairs = df.select(F.xxhash64("embedding").alias("a"), F.xxhash64(F.lit(1), "embedding").alias("b"), F.xxhash64(F.xxhash64("embedding"), F.lit(1)).alias("c"))
+    assert pairs.distinct().count() == 50
+    assert pairs.where("a = b or b = c").count() == 0
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).standard_normal((5, 32))
     assert np.allclose(np.linalg.norm(op.hadamard(x), axis=1), np.linalg.norm(x, axis=1))
