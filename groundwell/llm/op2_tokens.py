@@ -53,7 +53,7 @@ FRAME_BYTES = 1 << 17
 LEVEL = 1
 
 #: Bytes of text for each file, about; there are as many files as that takes, or tasks that run at once.
-FILE_BYTES = 256 << 20
+FILE_BYTES = 32 << 20
 #: Pieces that are encoded in one text.
 LINES = 2000
 
