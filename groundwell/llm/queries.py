@@ -1,23 +1,21 @@
-"""Registration of the training-data queries."""
+"""The training-data queries by name: each module has ``query``, or as the pipeline ``run``, and its SQL if there is any.
 
-from __future__ import annotations
-
-import corpus_pipeline
+Only names stand here, so that one module can be imported without the others.
+"""
 
-from . import op1_substring, op2_tokens, op3_embeddings, op4_language, op5_bpe, op6_decontaminate, op7_quality, op8_jaccard, op9_secrets, op10_toxicity
+from __future__ import annotations
 
-QUERIES = {
-    "op1_substring_dedup": op1_substring.query,
-    "op2_token_binary": op2_tokens.query,
-    "op3_embedding_near_dedup": op3_embeddings.query,
-    "op4_language_id": op4_language.query,
-    "op5_byte_bpe": op5_bpe.query,
-    "op6_decontamination": op6_decontaminate.query,
-    "op7_quality": op7_quality.query,
-    "op8_ngram_jaccard_join": op8_jaccard.query,
-    "op9_secret_scan": op9_secrets.query,
-    "op10_toxicity": op10_toxicity.query,
-    "pipeline": corpus_pipeline.run,
+#: Query name: module, function, attribute with the SQL (None where SQL can't express it).
+REGISTRY: dict[str, tuple[str, str, str | None]] = {
+    "op1_substring_dedup": ("groundwell.llm.op1_substring", "query", None),
+    "op2_token_binary": ("groundwell.llm.op2_tokens", "query", None),
+    "op3_embedding_near_dedup": ("groundwell.llm.op3_embeddings", "query", None),
+    "op4_language_id": ("groundwell.llm.op4_language", "query", None),
+    "op5_byte_bpe": ("groundwell.llm.op5_bpe", "query", None),
+    "op6_decontamination": ("groundwell.llm.op6_decontaminate", "query", "ORACLE"),
+    "op7_quality": ("groundwell.llm.op7_quality", "query", None),
+    "op8_ngram_jaccard_join": ("groundwell.llm.op8_jaccard", "query", None),
+    "op9_secret_scan": ("groundwell.llm.op9_secrets", "query", None),
+    "op10_toxicity": ("groundwell.llm.op10_toxicity", "query", None),
+    "pipeline": ("corpus_pipeline", "run", "ORACLE_SQL"),
 }
-
-ORACLES: dict[str, str] = {"op6_decontamination": op6_decontaminate.ORACLE}
