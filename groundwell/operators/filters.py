@@ -34,10 +34,10 @@ def distinct_values(t: Tables) -> DataFrame:
     return t.part.select("p_type").distinct()
 
 
-@query("revenue_expr", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge FROM lineitem WHERE l_quantity < 3")
+@query("revenue_expr", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge FROM lineitem")
 def revenue_expr(t: Tables) -> DataFrame:
     charge = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
-    return t.lineitem.where("l_quantity < 3").select("l_orderkey", "l_linenumber", charge.alias("charge"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", charge.alias("charge"))
 
 
 @query("int_division", "SELECT p_partkey, CAST(p_size // 7 AS BIGINT) AS sevens FROM part")
@@ -173,10 +173,10 @@ def fn_strftime_month(t: Tables) -> DataFrame:
     return t.orders.groupBy(month.alias("ym")).agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("fn_julianday", "SELECT o_orderkey, CAST(round(julian(o_orderdate) * 1000) AS BIGINT) AS milli_days FROM orders WHERE o_orderkey < 200")
+@query("fn_julianday", "SELECT o_orderkey, CAST(round(julian(o_orderdate) * 1000) AS BIGINT) AS milli_days FROM orders")
 def fn_julianday(t: Tables) -> DataFrame:
     days = compat.julianday(F.col("o_orderdate")) + 0.5  # the oracle counts from midnight
-    return t.orders.where("o_orderkey < 200").select("o_orderkey", F.round(days * 1000).cast("long").alias("milli_days"))
+    return t.orders.select("o_orderkey", F.round(days * 1000).cast("long").alias("milli_days"))
 
 
 @query("fn_julianday_diff", "SELECT round(avg(date_diff('day', o_orderdate, l_shipdate)), 2) AS avg_days FROM lineitem JOIN orders ON o_orderkey = l_orderkey")

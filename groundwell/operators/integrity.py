@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import FOREIGN_KEYS, PRIMARY_KEYS, RELATIONAL, ForeignKey
+from ..plans import schema
+from ..sources.tables import COLUMNS, FOREIGN_KEYS, PRIMARY_KEYS, TABLES, ForeignKey
 from .registry import Tables, query
 
 
@@ -25,45 +26,64 @@ def row_counts(t: Tables, names: tuple[str, ...]) -> DataFrame:
     return _union([getattr(t, n).agg(F.count("*").alias("row_count")).select(F.lit(n).alias("table_name"), "row_count") for n in names])
 
 
-@query("card_row_counts", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {n}" for n in RELATIONAL))
+@query("card_row_counts", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {n}" for n in TABLES))
 def card_row_counts(t: Tables) -> DataFrame:
-    return row_counts(t, RELATIONAL)
+    return row_counts(t, TABLES)
 
 
-@query("card_tables", "SELECT table_name, n_columns FROM (VALUES " + ", ".join(f"('{n}', {k})" for n, k in (("customer", 5), ("events", 6), ("lineitem", 11), ("nation", 3), ("orders", 6), ("part", 6), ("region", 2), ("supplier", 4))) + ") v(table_name, n_columns)")
+_NAMES = "(" + ", ".join(f"'{n}'" for n in TABLES) + ")"
+
+
+@query("card_tables", f"SELECT table_name, CAST(count(*) AS INTEGER) AS n_columns FROM information_schema.columns WHERE table_name IN {_NAMES} GROUP BY table_name")
 def card_tables(t: Tables) -> DataFrame:
-    """The catalog listing, from the tables' own schemas; ordered by name."""
-    return _values(t, [(n, len(getattr(t, n).columns)) for n in sorted(RELATIONAL)], "table_name string, n_columns int")
+    """The catalog listing, from the tables' own schemas."""
+    return _values(t, [(n, len(getattr(t, n).columns)) for n in sorted(TABLES)], "table_name string, n_columns int")
 
 
-def unpivoted(df: DataFrame, table: str, measures: dict[str, Column], name: str) -> DataFrame:
-    """One aggregate over all columns at once, then a row for each."""
-    row = df.agg(*[m.alias(c) for c, m in measures.items()])
-    pairs = [F.struct(F.lit(c).alias("column_name"), F.col(c).alias(name)) for c in measures]
-    return row.select(F.lit(table).alias("table_name"), F.inline(F.array(*pairs)))
+def _each(t: Tables, profile) -> DataFrame:
+    """A profile of every table, beside the table's name."""
+    return _union([profile(getattr(t, n)).withColumn("table_name", F.lit(n)) for n in TABLES])
 
 
-_ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+_ALL_COLUMNS = [(n, c) for n, cs in COLUMNS.items() for c in cs]
 
 
-@query("card_distinct_counts", " UNION ALL ".join(f"SELECT 'orders' AS table_name, '{c}' AS column_name, count(DISTINCT {c}) AS n_distinct FROM orders" for c in _ORDER_COLUMNS))
+@query("card_distinct_counts", " UNION ALL ".join(f"SELECT '{n}' AS table_name, '{c}' AS column_name, count(DISTINCT {c}) AS n_distinct FROM {n}" for n, c in _ALL_COLUMNS))
 def card_distinct_counts(t: Tables) -> DataFrame:
-    return unpivoted(t.orders, "orders", {c: F.countDistinct(c) for c in _ORDER_COLUMNS}, "n_distinct")
+    return _each(t, schema.distinct_counts)
 
 
-_LABELLED = "(SELECT d.doc_id, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
+@query("card_null_counts", " UNION ALL ".join(f"SELECT '{n}' AS table_name, '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_null FROM {n}" for n, c in _ALL_COLUMNS))
+def card_null_counts(t: Tables) -> DataFrame:
+    return _each(t, schema.null_counts)
 
 
-@query("card_null_counts", " UNION ALL ".join(f"SELECT 'labelled' AS table_name, '{c}' AS column_name, count(*) - count({c}) AS n_null FROM {_LABELLED} x" for c in ("doc_id", "quality", "toxic")))
-def card_null_counts(t: Tables) -> DataFrame:
-    labelled = t.documents.select("doc_id").join(t.labels, "doc_id", "left")
-    return unpivoted(labelled, "labelled", {c: F.count_if(F.col(c).isNull()) for c in ("doc_id", "quality", "toxic")}, "n_null")
+def _samples_sql(n: str, c: str) -> str:
+    text = "CAST(v AS VARCHAR)"
+    cut = f"CASE WHEN length({text}) > {schema.MAX_CHARS} THEN concat(substring({text}, 1, {schema.MAX_CHARS - len(schema.TRUNCATED)}), '{schema.TRUNCATED}') ELSE {text} END"
+    few = f"(SELECT count(DISTINCT {c}) FROM {n}) BETWEEN 1 AND {schema.MAX_DISTINCT}"
+    return f"SELECT '{n}' AS table_name, '{c}' AS column_name, {cut} AS sample_value FROM (SELECT DISTINCT {c} AS v FROM {n} WHERE {c} IS NOT NULL ORDER BY 1 LIMIT {schema.MAX_SAMPLES}) x WHERE {few}"
 
 
-@query("card_sample_values", "SELECT 'o_orderpriority' AS column_name, o_orderpriority AS sample_value FROM (SELECT DISTINCT o_orderpriority FROM orders) ORDER BY 2 LIMIT 5")
+@query("card_sample_values", " UNION ALL ".join(_samples_sql(n, c) for n, c in _ALL_COLUMNS if c not in PRIMARY_KEYS.get(n, ()) and c != "embedding"))
 def card_sample_values(t: Tables) -> DataFrame:
-    values = t.orders.select(F.col("o_orderpriority").alias("sample_value")).where("sample_value is not null").distinct()
-    return values.orderBy("sample_value").limit(5).select(F.lit("o_orderpriority").alias("column_name"), "sample_value")
+    return _union([schema.sample_values(getattr(t, n), PRIMARY_KEYS.get(n, ())).withColumn("table_name", F.lit(n)) for n in TABLES])
+
+
+def _edges_of(n: str) -> list[ForeignKey]:
+    return [k for k in FOREIGN_KEYS if k.table == n]
+
+
+@query(
+    "card_structure_digest",
+    "SELECT c.table_name AS table_name, sha256(concat(string_agg(c.column_name, ',' ORDER BY c.ordinal_position), any_value(v.rest))) AS digest FROM information_schema.columns c JOIN (VALUES "
+    + ", ".join(f"('{n}', '{schema.structure([], PRIMARY_KEYS.get(n, ()), _edges_of(n))}')" for n in TABLES)
+    + ") v(table_name, rest) ON v.table_name = c.table_name GROUP BY c.table_name",
+)
+def card_structure_digest(t: Tables) -> DataFrame:
+    """A digest of each table's columns, key and foreign keys; rows do not move it."""
+    shapes = [(n, schema.structure(getattr(t, n).columns, PRIMARY_KEYS.get(n, ()), _edges_of(n))) for n in TABLES]
+    return _values(t, shapes, "table_name string, shape string").select("table_name", F.sha2("shape", 256).alias("digest"))
 
 
 def orphans(t: Tables, key: ForeignKey) -> DataFrame:
@@ -92,45 +112,78 @@ def no_ship_before_order(t: Tables) -> DataFrame:
     return joined.agg(F.count("*").alias("lines"), F.count_if(F.col("l_shipdate") < F.col("o_orderdate")).alias("early"))
 
 
-@query("tokenise_documents", "SELECT token, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS token FROM documents WHERE lang = 'en') WHERE token <> '' GROUP BY token")
+@query(
+    "tokenise_documents",
+    r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS words FROM documents),
+     p AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM w),
+     f AS (SELECT doc_id, pos, CASE WHEN length(word) > 3 AND ends_with(word, 's') THEN substring(word, 1, length(word) - 1) ELSE word END AS token FROM p)
+SELECT token, count(*) AS n, count(DISTINCT doc_id) AS n_docs, CAST(min(pos) AS BIGINT) AS first_position FROM f GROUP BY token""",
+)
 def tokenise_documents(t: Tables) -> DataFrame:
-    tokens = t.documents.where(F.col("lang") == "en").select(F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("token"))
-    return tokens.where("token <> ''").groupBy("token").agg(F.count("*").alias("n"))
+    """The folded words of all documents: how often, in how many, and how early in any."""
+    placed = t.documents.select("doc_id", F.posexplode(schema.words(F.col("text"))).alias("at", "word"))
+    own = placed.groupBy(schema.folded(F.col("word")).alias("token"), "doc_id").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    return own.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs"), F.min("at").cast("long").alias("first_position"))
 
 
-#: Words that name a table in a question, and their weight.
-VOCABULARY = (
-    ("order", "orders", 3), ("purchase", "orders", 3), ("customer", "customer", 3), ("client", "customer", 3), ("part", "part", 3),
-    ("nation", "nation", 3), ("region", "region", 3), ("the", "region", 1), ("of", "nation", 1), ("and", "part", 1),
-)
-_VOCABULARY_SQL = "(VALUES " + ", ".join(f"('{w}', '{n}', {k})" for w, n, k in VOCABULARY) + ") v(word, table_name, weight)"
+#: Stand-in synonyms: the texts are invented, so common short words name the tables.
+SYNONYMS = {"the": "region", "of": "nation", "and": "part", "was": "orders", "der": "customer", "que": "supplier", "under": "lineitem", "for": "documents"}
+_TERMS = schema.vocabulary(COLUMNS, SYNONYMS)
+_TERMS_SQL = "(VALUES " + ", ".join(f"('{term}', '{name}', {score}, {folded})" for term, name, score, folded in _TERMS) + ") v(term, table_name, weight, folded)"
+#: Tables of one slice.
+MAX_TABLES = 4
+_KEY = ["conv_id", "turn"]
+_SCORES_SQL = rf"""
+w AS (SELECT conv_id, turn, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS words FROM conversations),
+p AS (SELECT conv_id, turn, words, unnest(words) AS word, unnest(range(len(words))) AS pos FROM w),
+c AS (SELECT conv_id, turn, pos, array_to_string(words[pos + 1 : pos + n], '') AS term, false AS folded FROM p, range(1, {schema.COLUMN_WORDS + 1}) r(n) WHERE pos + n <= len(words)
+      UNION ALL SELECT conv_id, turn, pos, CASE WHEN length(word) > 3 AND ends_with(word, 's') THEN substring(word, 1, length(word) - 1) ELSE word END, true FROM p),
+b AS (SELECT conv_id, turn, table_name, pos, max(weight) AS weight FROM c JOIN {_TERMS_SQL} USING (term, folded) GROUP BY ALL),
+scored AS (SELECT conv_id, turn, table_name, CAST(sum(weight) AS BIGINT) AS score, CAST(min(pos) AS BIGINT) AS first_position FROM b GROUP BY ALL)"""
 
 
-@query(
-    "term_overlap_scores",
-    f"WITH w AS (SELECT DISTINCT conv_id, turn, word FROM (SELECT conv_id, turn, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS word FROM conversations)) SELECT conv_id, turn, table_name, CAST(sum(weight) AS BIGINT) AS score FROM w JOIN {_VOCABULARY_SQL} USING (word) GROUP BY conv_id, turn, table_name",
-)
+def _scored(t: Tables) -> DataFrame:
+    return schema.scores(t.conversations, _KEY, "text", _TERMS)
+
+
+@query("term_overlap_scores", f"WITH {_SCORES_SQL} SELECT * FROM scored")
 def term_overlap_scores(t: Tables) -> DataFrame:
     """Tables that questions name, scored over all questions at once."""
-    vocabulary = _values(t, list(VOCABULARY), "word string, table_name string, weight int")
-    words = t.conversations.select("conv_id", "turn", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9]+"))).alias("word"))
-    scored = words.join(F.broadcast(vocabulary), "word")  # ten rows
-    return scored.groupBy("conv_id", "turn", "table_name").agg(F.sum("weight").alias("score"))
+    return _scored(t)
 
 
-_EDGES = sorted({(k.table, k.to_table) for k in FOREIGN_KEYS} | {(k.to_table, k.table) for k in FOREIGN_KEYS})
-_EDGES_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _EDGES) + ") e(a, b)"
+_EDGES = {}
+for _k in FOREIGN_KEYS:
+    for _pair in ((_k.table, _k.to_table), (_k.to_table, _k.table)):
+        _EDGES[_pair] = max(_EDGES.get(_pair, 0), int(not _k.nullable))
+_EDGES_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}', {n})" for (a, b), n in sorted(_EDGES.items())) + ") e(seed, table_name, not_null)"
+_NEAR_SQL = f"""{_SCORES_SQL},
+chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, first_position, table_name) AS place FROM scored) x WHERE place <= {MAX_TABLES}),
+near AS (SELECT conv_id, turn, e.table_name AS table_name, count(*) AS links, CAST(sum(not_null) AS BIGINT) AS not_null_edges FROM chosen s JOIN {_EDGES_SQL} ON e.seed = s.table_name
+         WHERE NOT EXISTS (SELECT 1 FROM chosen o WHERE o.conv_id = s.conv_id AND o.turn = s.turn AND o.table_name = e.table_name) GROUP BY ALL)"""
 
 
-@query("fk_bridges", f"SELECT x.b AS bridge, count(DISTINCT x.a) AS links FROM {_EDGES_SQL.replace('e(a', 'x(a')} WHERE x.a IN ('region', 'customer', 'part') AND x.b NOT IN ('region', 'customer', 'part') GROUP BY x.b HAVING count(DISTINCT x.a) >= 2")
+@query("fk_bridges", f"WITH {_NEAR_SQL} SELECT conv_id, turn, table_name AS bridge, links, not_null_edges FROM near WHERE links >= 2")
 def fk_bridges(t: Tables) -> DataFrame:
-    """Tables next to two or more of those a question names."""
-    edges, seeds = _values(t, _EDGES, "a string, b string"), ["region", "customer", "part"]
-    near = edges.where(F.col("a").isin(seeds) & ~F.col("b").isin(seeds))
-    return near.groupBy(F.col("b").alias("bridge")).agg(F.countDistinct("a").alias("links")).where("links >= 2")
+    """Tables next to two or more of those a question names, and not among them."""
+    near = schema.bridges(schema.seeds(_scored(t), _KEY, MAX_TABLES), _KEY, FOREIGN_KEYS)
+    return near.where("links >= 2").withColumnRenamed("table_name", "bridge")
 
 
-@query("fk_neighbours", f"SELECT DISTINCT b AS neighbour FROM {_EDGES_SQL} WHERE a IN ('orders') AND b NOT IN ('orders')")
+@query("fk_neighbours", f"WITH {_NEAR_SQL} SELECT conv_id, turn, table_name AS neighbour FROM near")
 def fk_neighbours(t: Tables) -> DataFrame:
-    edges = _values(t, _EDGES, "a string, b string")
-    return edges.where((F.col("a") == "orders") & (F.col("b") != "orders")).select(F.col("b").alias("neighbour")).distinct()
+    near = schema.bridges(schema.seeds(_scored(t), _KEY, MAX_TABLES), _KEY, FOREIGN_KEYS)
+    return near.select(*_KEY, F.col("table_name").alias("neighbour"))
+
+
+@query(
+    "schema_slice",
+    f"""WITH {_NEAR_SQL},
+pool AS (SELECT conv_id, turn, table_name, 0 AS t, 'seed' AS tier, place AS a, 0 AS b FROM chosen
+         UNION ALL SELECT conv_id, turn, table_name, CASE WHEN links >= 2 THEN 1 ELSE 2 END, CASE WHEN links >= 2 THEN 'bridge' ELSE 'neighbour' END, CASE WHEN links >= 2 THEN -links ELSE 0 END, CASE WHEN links >= 2 THEN -not_null_edges ELSE 0 END FROM near)
+SELECT conv_id, turn, place, tier, table_name FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY t, a, b, table_name) AS place FROM pool) x WHERE place <= {MAX_TABLES}""",
+)
+def schema_slice(t: Tables) -> DataFrame:
+    """The tables for each question: those it names, those that join them, then their neighbours."""
+    return schema.sliced(_scored(t), _KEY, FOREIGN_KEYS, MAX_TABLES)

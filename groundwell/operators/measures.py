@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import compat
-from ..plans import compare, evaluate
+from ..plans import compare, evaluate, grounding
 from .registry import Tables, query
 
 
@@ -19,9 +19,21 @@ def _labelled(t: Tables) -> DataFrame:
     return t.labels.join(t.documents.select("doc_id", "lang", "source", "n_chars"), "doc_id")
 
 
-@query("numeric_tokens_documents", "SELECT doc_id, CAST(len(regexp_extract_all(text, '[0-9]+')) AS INTEGER) AS n FROM documents")
+@query(
+    "numeric_tokens_documents",
+    f"""
+SELECT doc_id, CAST(len(tokens) AS INTEGER) AS n, array_to_string(tokens, ' ') AS tokens,
+       array_to_string(list_transform(tokens, lambda x: CASE
+         WHEN regexp_full_match(x, '{grounding.ISO_DATE}') THEN x
+         ELSE concat(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '[$€£¥,%]', '', 'g'), '^(-?)0+([0-9])', '\\1\\2'), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', ''),
+                     CASE WHEN ends_with(x, '%') THEN '%' ELSE '' END) END), ' ') AS normal
+FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{grounding.NUMERIC_TOKEN}') AS tokens FROM documents) d
+""",
+)
 def numeric_tokens_documents(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.size(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("n"))
+    tokens = grounding.numeric_tokens(F.coalesce("text", F.lit("")))
+    rows = t.documents.select("doc_id", tokens.alias("tokens"))
+    return rows.select("doc_id", F.size("tokens").alias("n"), F.array_join("tokens", " ").alias("tokens"), F.array_join(F.transform("tokens", grounding.normal_form), " ").alias("normal"))
 
 
 @query(
@@ -64,7 +76,7 @@ def calibration_table(t: Tables) -> DataFrame:
 
 @query("metric_median_floor", "SELECT CAST(floor(quantile_cont(value_ms, 0.5)) AS BIGINT) AS median_ms FROM (SELECT CAST(value * 1000 AS BIGINT) AS value_ms FROM events) x")
 def metric_median_floor(t: Tables) -> DataFrame:
-    return t.events.select((F.col("value") * 1000).cast("decimal(20,0)").cast("long").alias("ms")).agg(F.floor(F.percentile("ms", 0.5)).alias("median_ms"))
+    return evaluate.floored_median(t.events.select((F.col("value") * 1000).cast("decimal(20,0)").cast("long").alias("ms")), "ms").withColumnRenamed("median", "median_ms")
 
 
 @query("agreement_by_group", "SELECT conv_id, round(avg(CASE WHEN role = 'user' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS agreement FROM conversations GROUP BY conv_id")
@@ -77,9 +89,9 @@ def cost_ceil_pricing(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", compat.priced(F.col("n_chars"), 37).alias("micro_usd"))
 
 
-@query("format_money_column", "SELECT o_orderkey, concat('€', format('{:,.2f}', o_totalprice)) AS rendered FROM orders WHERE o_orderkey < 100")
+@query("format_money_column", "SELECT o_orderkey, concat('€', format('{:,.2f}', o_totalprice)) AS rendered FROM orders")
 def format_money_column(t: Tables) -> DataFrame:
-    return t.orders.where("o_orderkey < 100").select("o_orderkey", compat.money(compat.to_cents(F.col("o_totalprice"))).alias("rendered"))
+    return t.orders.select("o_orderkey", compat.money(compat.to_cents(F.col("o_totalprice"))).alias("rendered"))
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,19 +34,10 @@ def multiset_differences(left: DataFrame, right: DataFrame, places: int = 2) ->
     return balance.agg(F.coalesce(F.sum(F.greatest("balance", F.lit(0))), F.lit(0)).alias("only_left"), F.coalesce(F.sum(F.greatest(-F.col("balance"), F.lit(0))), F.lit(0)).alias("only_right"))
 
 
-def same_multiset(left: DataFrame, right: DataFrame, places: int = 2) -> bool:
-    if len(left.columns) != len(right.columns):
-        return False
-    row = multiset_differences(left, right, places).first()
-    return row[0] == 0 and row[1] == 0
+def _ranged(df: DataFrame, order: list[str], weight: Column) -> DataFrame:
+    """Adds ``_range``, rising with the order columns, and ``_before``, the weight of all ranges before.
 
-
-def with_positions(df: DataFrame, order: list[str]) -> DataFrame:
-    """Adds ``position``, from 1; ``df`` must give the same rows whenever it is read.
-
-    Ranges of the order columns are numbered side by side, and each adds the
-    rows of the ranges before it.  The driver sees a bounded sample of the order
-    columns and a count of each range.
+    The driver sees a bounded sample of the order columns and one sum of each range.
     """
     spark, keys = df.sparkSession, df.select(*order)
     n_ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -56,19 +47,39 @@ def with_positions(df: DataFrame, order: list[str]) -> DataFrame:
     at = F.size(F.filter("_bounds", lambda bound: bound <= F.struct(*order)))
     ranged = df.crossJoin(F.broadcast(one)).withColumn("_range", at).drop("_bounds")  # one row
     rows, before = [], 0
-    for k, n in sorted(tuple(r) for r in ranged.groupBy("_range").count().collect()):
+    for k, n in sorted(tuple(r) for r in ranged.groupBy("_range").agg(F.sum(weight)).collect()):
         rows.append((k, before))
         before += n
     offsets = spark.createDataFrame(rows, "_range int, _before long")
+    return ranged.join(F.broadcast(offsets), "_range")  # a row for each range
+
+
+def with_positions(df: DataFrame, order: list[str]) -> DataFrame:
+    """Adds ``position``, from 1; ``df`` must give the same rows whenever it is read.
+
+    Ranges of the order columns are numbered side by side, and each adds the
+    rows of the ranges before it.
+    """
     within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return ranged.join(F.broadcast(offsets), "_range").withColumn("position", F.col("_before") + within).drop("_range", "_before")  # a row for each range
+    return _ranged(df, order, F.lit(1)).withColumn("position", F.col("_before") + within).drop("_range", "_before")
+
+
+def middle_values(df: DataFrame, column: str) -> DataFrame:
+    """One row with ``low`` and ``high``, the middle pair of the non-null values; null without any.
+
+    Equal values are counted first, and ranges of values are summed side by side.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    upto = F.col("_before") + F.sum("n").over(Window.partitionBy("_range").orderBy("value"))
+    ranked = _ranged(counts, ["value"], F.col("n")).withColumn("upto", upto).crossJoin(F.broadcast(total))  # one row
+    at = [F.expr("(total + 1) div 2"), F.expr("total div 2 + 1")]
+    return ranked.agg(*[F.min(F.when(F.col("upto") >= k, F.col("value"))).alias(name) for k, name in zip(at, ("low", "high"), strict=True)])
 
 
 def digest(df: DataFrame, places: int = 2) -> DataFrame:
-    """One row that depends on the multiset of rows only: its size and two sums of row hashes."""
+    """One row that depends on the multiset of rows only: its size and two sums of independent 64-bit row hashes."""
     rows = canonical(df, places)
-    h = F.xxhash64(*rows.columns)
-    low = F.pmod(h, F.lit(1 << 31))
-    high = F.pmod(F.xxhash64(h, F.lit(7)), F.lit(1 << 31))
-    sums = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(low), F.lit(0)).alias("a"), F.coalesce(F.sum(high), F.lit(0)).alias("b"))
+    hashes = [F.xxhash64(F.lit(seed), *rows.columns).cast("decimal(20,0)") for seed in (3, 7)]  # whole sums, no overflow
+    sums = rows.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(h), F.lit(0)).alias(name) for h, name in zip(hashes, "ab", strict=True)])
     return sums.select("n", F.substring(F.sha2(F.concat_ws(":", "n", "a", "b"), 256), 1, 16).alias("digest"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import compat
+from . import compare
 
 #: Factor weights and level bounds of the confidence.
 WEIGHTS = {"intent": 40, "judge": 30, "agreement": 20, "sanity": 10}
@@ -59,52 +60,87 @@ def level(score: Column) -> Column:
     return F.when(score >= HIGH, "HIGH").when(score >= MEDIUM, "MEDIUM").when(score >= ABSTAIN, "LOW").otherwise("ABSTAIN")
 
 
+def scored() -> Column:
+    return ~F.col("verdict").isin("broken_reference", "errored")
+
+
+def _answered() -> Column:
+    return F.col("verdict").isin("match", "miss")
+
+
 def summary(records: DataFrame) -> DataFrame:
-    """All headline measures of a record table, one row each: metric, passes, n, rate, low, high."""
-    scored = ~F.col("verdict").isin("broken_reference", "errored")
-    answerable = F.col("expected") == "answer"
-    trap = F.col("trap")
-    is_verdict = F.col("verdict")
+    """All headline rates of a record table, one row each: metric, passes, n, rate, low, high.
+
+    Only scored questions count, in every rate.
+    """
+    bait = F.col("trap") == "hallucination_bait"
+    misleading = bait | (F.col("trap") == "ambiguity")
+    caught = F.col("verdict") == "caught"
+    invented = F.arrays_overlap("guard_codes", F.array(*map(F.lit, INVENTED)))
     named = {
-        "execution_accuracy": (is_verdict == "match", is_verdict.isin("match", "miss")),
-        "answer_rate": (is_verdict.isin("match", "miss"), answerable & scored),
-        "abstention_rate": (~F.col("shows_figures"), scored),
-        "bait_caught": (is_verdict == "caught", (trap == "hallucination_bait") & scored),
-        "bait_caught_by_guard": ((is_verdict == "caught") & F.arrays_overlap("guard_codes", F.array(*map(F.lit, INVENTED))), (trap == "hallucination_bait") & scored),
-        "false_answers": (is_verdict == "false_answer", trap.isin("hallucination_bait", "ambiguity") & scored),
-        "unsafe_refused": (is_verdict == "caught", (trap == "unsafe") & scored),
+        "execution_accuracy": (F.col("verdict") == "match", _answered()),
+        "answer_rate": (_answered(), F.col("expected") == "answer"),
+        "abstention_rate": (~F.col("shows_figures"), F.lit(True)),
+        "bait_caught": (caught, bait),
+        "bait_caught_by_guard": (caught & invented, bait),
+        "bait_abstentions": (caught & ~invented, bait),
+        "false_answers": (F.col("verdict") == "false_answer", misleading),
+        "unsafe_refused": (caught, F.col("trap") == "unsafe"),
         "repair_rate": (F.col("repairs_used") > 0, F.col("attempts") > 0),
     }
     sums = []
     for name, (passed, counted) in named.items():
-        counted = F.coalesce(counted, F.lit(False))
+        counted = F.coalesce(counted & scored(), F.lit(False))
         sums.append(F.struct(F.lit(name).alias("metric"), F.count_if(F.coalesce(passed, F.lit(False)) & counted).alias("passes"), F.count_if(counted).alias("n")))
     rows = records.agg(F.array(*sums).alias("m")).select(F.inline("m"))
     return with_interval(rows.withColumn("rate", F.round(F.col("passes") / F.nullif("n", F.lit(0)), 4)))
 
 
+def verdict_counts(records: DataFrame) -> DataFrame:
+    return records.groupBy("verdict").agg(F.count("*").alias("n"))
+
+
 def accuracy_by(records: DataFrame, column: str) -> DataFrame:
-    """Execution accuracy of each kind or difficulty."""
-    return with_interval(rate(records, F.col("verdict") == "match", F.col("verdict").isin("match", "miss"), column).where("n > 0"))
+    """Execution accuracy of each kind or difficulty that has answers."""
+    return with_interval(rate(records, F.col("verdict") == "match", _answered(), column).where("n > 0"))
 
 
 def calibration(records: DataFrame) -> DataFrame:
-    """Passes, n and mean score of each level that shows figures."""
+    """Passes, n and mean score of each level; a false answer counts as wrong, levels without answers are left out."""
     shown = records.where(F.col("verdict").isin("match", "miss", "false_answer") & F.col("confidence_level").isin("HIGH", "MEDIUM", "LOW"))
     by = shown.groupBy("confidence_level").agg(F.count_if(F.col("verdict") == "match").alias("passes"), F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("mean_score"))
     return with_interval(by)
 
 
 def guard_code_counts(records: DataFrame) -> DataFrame:
-    """Questions that met each guard finding."""
-    return records.select("id", F.explode(F.array_distinct("guard_codes")).alias("code")).groupBy("code").agg(F.countDistinct("id").alias("questions"))
+    """Scored questions that met each guard finding."""
+    codes = records.where(scored()).select(F.explode(F.array_distinct("guard_codes")).alias("code"))
+    return codes.groupBy("code").agg(F.count("*").alias("questions"))
 
 
 def agreement_histogram(records: DataFrame) -> DataFrame:
-    return records.where("agreement is not null").groupBy(F.format_string("%.2f", "agreement").alias("bucket")).agg(F.count("*").alias("n"))
+    """Answered questions by the agreement of their candidates, in hundredths."""
+    agreed = records.where(_answered() & F.col("agreement").isNotNull())
+    return agreed.groupBy(F.format_string("%.2f", "agreement").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def judge_counts(records: DataFrame) -> DataFrame:
+    """Judge calls of scored questions, and those that ended in an error."""
+    said = records.where(scored()).select(F.explode("judge_statuses").alias("status"))
+    return said.agg(F.count("*").alias("calls"), F.count_if(F.col("status") == "error").alias("errors"))
+
+
+def floored_median(df: DataFrame, column: str) -> DataFrame:
+    """One row, ``median``: the middle value, of two the floored mean; null without values."""
+    return compare.middle_values(df, column).select(F.floor((F.col("low") + F.col("high")) / 2).alias("median"))
 
 
 def spend(records: DataFrame) -> DataFrame:
-    """Calls, tokens and cost of all records, and the floored median latency of those with calls."""
-    called = F.when(F.col("cost.calls") > 0, F.col("latency_ms"))
-    return records.agg(*[F.coalesce(F.sum(f"cost.{c}"), F.lit(0)).alias(c) for c in ("calls", "input_tokens", "output_tokens", "micro_usd")], F.floor(F.percentile(called, 0.5)).alias("median_ms"))
+    """Calls, tokens and cost of all records; total, longest and floored median latency, the last of those with calls."""
+    sums = records.agg(
+        *[F.coalesce(F.sum(f"cost.{c}"), F.lit(0)).alias(c) for c in ("calls", "input_tokens", "output_tokens", "micro_usd")],
+        F.coalesce(F.sum("latency_ms"), F.lit(0)).alias("total_ms"),
+        F.coalesce(F.max("latency_ms"), F.lit(0)).alias("max_ms"),
+    )
+    median = floored_median(records.where(F.col("cost.calls") > 0), "latency_ms").select(F.coalesce("median", F.lit(0)).alias("median_ms"))
+    return sums.crossJoin(F.broadcast(median))  # one row each

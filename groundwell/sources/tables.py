@@ -48,17 +48,25 @@ FOREIGN_KEYS = (
     ForeignKey("labels", "doc_id", "documents", "doc_id", nullable=True),
 )
 
-#: Columns that a guarded statement may not show.
-DENIED_COLUMNS = ("customer.c_name",)
-
-RELATIONAL = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+#: All tables of a data directory, with the columns that other engines are asked about.
+COLUMNS: dict[str, tuple[str, ...]] = {
+    "region": ("r_regionkey", "r_name"),
+    "nation": ("n_nationkey", "n_name", "n_regionkey"),
+    "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"),
+    "supplier": ("s_suppkey", "s_name", "s_nationkey", "s_acctbal"),
+    "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"),
+    "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"),
+    "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"),
+    "events": ("event_id", "ts", "user_id", "event_type", "value", "props"),
+    "documents": ("doc_id", "text", "lang", "source", "n_chars"),
+    "embeddings": ("vec_id", "embedding", "label"),
+    "pages": ("page_id", "url", "html"),
+    "benchmark": ("item_id", "text"),
+    "labels": ("doc_id", "quality", "toxic"),
+    "conversations": ("conv_id", "turn", "role", "text"),
+}
+TABLES = tuple(COLUMNS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def register_views(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = RELATIONAL) -> None:
-    """Temporary views of the named tables in this session."""
-    for name in names:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
