@@ -13,7 +13,9 @@ positives, each at its share.
 The sample is about ``POSITIVES`` confirmed and ``UNLABELLED`` other rows, drawn
 by id hash among those not held out; the prior is the toxic share of all their
 labels.  Scoring reads whole texts, all of them.  A null or wordless text has
-the score of the bias alone; without any positive every score is 0.  Rows
+the score of the bias alone; without any positive every score is 0.  Of labels
+that repeat an id the greatest counts.  A text of any length is scored whole, and
+equal texts have equal scores; of equally clear terms the lesser hash is taken.  Rows
 without a doc_id are left out; rows that repeat an id are scored each; other
 columns are ignored.
 """

@@ -11,7 +11,8 @@ It learns from about ``PER_LANGUAGE`` rows of each language, drawn by id hash,
 among those that are not held out; scoring reads whole texts, all of them.
 
 ``und`` with score 0 if the text is null or has no letter, or if there was
-nothing to learn from.  Rows without a doc_id are left out; rows that repeat an
+nothing to learn from.  Of equally near codewords the first language by name wins.
+A text of any length is read whole, in one piece.  Rows without a doc_id are left out; rows that repeat an
 id are predicted each; other columns are ignored.
 """
 
@@ -35,8 +36,8 @@ PER_LANGUAGE = 1500
 BUCKETS = 1 << 15
 #: Probability gap under which the two best languages count as ambiguous.
 GAP = 0.2
-#: Languages up to which all possible bits are used.
-EXHAUSTIVE = 5
+#: Languages that can be learned: their counts (BUCKETS numbers each) meet on the driver.
+MOST_LANGUAGES = 512
 
 _SEED = 41
 #: Bytes that take part: ASCII letters, lower-cased, and all of non-ASCII; others are blanks.
@@ -48,35 +49,28 @@ _FOLD[0x41:0x5B] = K.LOWER[0x41:0x5B]
 def codewords(n: int) -> np.ndarray:
     """One row of +1/-1 bits for each of ``n`` languages.
 
-    Few languages: every split of them in two.  More: rows of a Hadamard matrix,
-    any two of which differ in half of their bits.
+    Rows of a Hadamard matrix, any two of which differ in half of their bits;
+    bits that are alike for all languages, or repeat another bit or its opposite, go.
     """
-    if n < 2:
-        return np.zeros((n, 0), np.int8)
-    if n <= EXHAUSTIVE:
-        splits = np.arange(1, 1 << (n - 1))
-        rows = [np.ones(len(splits))] + [1 - 2 * ((splits >> k) & 1) for k in range(n - 1)]
-        return np.array(rows, np.int8)
     matrix = np.ones((1, 1), np.int8)
     while len(matrix) <= n:
         matrix = np.block([[matrix, matrix], [matrix, -matrix]])
-    return matrix[1 : n + 1, 1:]
+    code = matrix[1 : n + 1]
+    code = code * code[:1]  # the first language has every bit, so opposite bits are equal ones
+    return np.unique(code, axis=1)[:, :-1] if n else code[:, :0]  # the last is alike for all
 
 
 def gram_buckets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of the byte trigram at each position, and how many each document has.
+    """Bucket of the byte trigram around each byte, and the documents' bounds in them.
 
-    Documents are set apart by blanks before and behind.
+    Documents are set apart by blanks, so none has a part in another's trigrams.
     """
     n_docs = len(offs) - 1
     where = np.arange(len(data)) + 2 * np.repeat(np.arange(n_docs), np.diff(offs)) + 1
     padded = np.full(len(data) + 2 * n_docs, 0x20, np.uint32)
     padded[where] = _FOLD[data]
-    gram = (padded[:-2] << 16) | (padded[1:-1] << 8) | padded[2:] if len(padded) > 2 else padded[:0]
-    bucket = (gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - 15)
-    bounds = offs + 2 * np.arange(n_docs + 1)
-    bounds[-1] = max(bounds[-1] - 2, 0)
-    return bucket, bounds
+    gram = (padded[where - 1] << 16) | (padded[where] << 8) | padded[where + 1]
+    return (gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - 15), offs
 
 
 @dataclass
@@ -146,6 +140,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel | No
     languages = sorted(r[0] for r in sample.select("lang").distinct().collect())
     if not languages:
         return None
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"{len(languages)} languages; MOST_LANGUAGES is {MOST_LANGUAGES}")
     counts = np.zeros((len(languages), BUCKETS))
     for r in sample.mapInArrow(_count_rows(languages), "lang string, counts binary").collect():
         counts[languages.index(r[0])] += np.frombuffer(r[1], np.int64)

@@ -6,7 +6,8 @@ in a bounded cache; the offsets of the pieces are kept for decoding single
 stretches.  Ids are those of the ranks file: a piece that is a token is that
 token, others merge their lowest-ranked pair first, the leftmost of equals.
 
-A null text is the empty text, which has no tokens.  Rows without a doc_id are
+A null text is the empty text, which has no tokens; a text of any length is encoded
+whole, and equal texts have equal ids.  Rows without a doc_id are
 left out; rows that repeat an id are encoded each; other columns are ignored.
 """
 

@@ -11,7 +11,8 @@ among those not held out; learning and scoring encode every passage.  The
 driver keeps the sample's passages in a file and learns from blocks of about
 ``BLOCK`` passages, whose gradients are summed at each step.  A null or wordless
 text is one empty passage.  Without labels of both kinds every score is the share of
-label 1 (0.5 without any).  Rows without a doc_id are left out; rows that repeat
+label 1 (0.5 without any).  Of labels that repeat an id the greatest counts.  A text of
+any length is scored whole, and equal texts have equal scores.  Rows without a doc_id are left out; rows that repeat
 an id are scored each; other columns are ignored.
 """
 

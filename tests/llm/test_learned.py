@@ -178,3 +178,126 @@ def test_queries(spark, sf):
         got = op.query(spark, sf).collect()
         assert len(got) == n
         assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % mod == rest) for r in got)
+
+
+def test_decoding_is_that_of_a_written_out_loop():
+    rng = np.random.default_rng(21)
+    for n in (2, 3, 4, 6, 9):
+        code = op4.codewords(n)
+        bits = code.shape[1]
+        model = op4.LanguageModel([f"l{k}" for k in range(n)], rng.standard_normal((op4.BUCKETS, bits)).astype(np.float32), np.zeros(bits), rng.uniform(0.1, 1, bits), 1.7)
+        texts = ["the quick fox", "", "Ünïcödé 12 text", "a", "many words " * 40]
+        data, offs = K.text_bytes(pa.array(texts))
+        best, chance, lead = model.decode(model.margins(data, offs))
+        for k, text in enumerate(texts):
+            folded = bytes(c if c >= 0x80 or 97 <= c <= 122 else 32 for c in text.lower().encode()) if text.isascii() else bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 97 <= c <= 122 else 32 for c in text.encode())
+            padded = b" " + folded + b" "
+            grams = [padded[i : i + 3] for i in range(len(padded) - 2)]
+            margin = [sum(float(model.weights[(int.from_bytes(g, "big") * 0x9E3779B1 & 0xFFFFFFFF) >> 17, b]) for g in grams) / max(len(grams), 1) for b in range(bits)]
+            loss = [sum(model.trust[b] * np.log1p(np.exp(-model.scale * margin[b] * code[x, b])) for b in range(bits)) for x in range(n)]
+            share = [np.exp(min(loss) - x) for x in loss]
+            share = [x / sum(share) for x in share]
+            if text:
+                order = sorted(range(n), key=lambda x: -share[x])
+                assert abs(chance[k] - share[order[0]]) < 1e-6 and abs(lead[k] - (share[order[0]] - share[order[1]])) < 1e-6
+                assert share[best[k]] >= share[order[0]] - 1e-9
+
+
+def test_attention_is_that_of_a_written_out_loop():
+    rng = np.random.default_rng(22)
+    d, n_pass = 5, np.array([3, 1, 4])
+    rows = rng.standard_normal((8, d)).astype(np.float32)
+    params = {"w": (d, op7.HIDDEN), "wb": (op7.HIDDEN,), "v": (op7.HIDDEN, op7.GATES), "u": (op7.HIDDEN, op7.GATES), "a": (op7.GATES,), "c": (op7.HIDDEN,), "b": (1,)}
+    p = {k: rng.standard_normal(shape).astype(np.float32) for k, shape in params.items()}
+    got = op7.QualityModel(p, np.zeros(d, np.float32), np.ones(d, np.float32)).forward(rows, n_pass)
+    at = 0
+    for bag, n in enumerate(n_pass):
+        h = [np.tanh([sum(x[i] * p["w"][i, j] for i in range(d)) + p["wb"][j] for j in range(op7.HIDDEN)]) for x in rows[at : at + n]]
+        gate = [sum(p["a"][g] * np.tanh(x @ p["v"][:, g]) / (1 + np.exp(-(x @ p["u"][:, g]))) for g in range(op7.GATES)) for x in h]
+        weight = np.exp(gate) / np.exp(gate).sum()
+        z = sum(w * x for w, x in zip(weight, h, strict=True))
+        assert np.allclose(got["weight"][at : at + n], weight, atol=1e-4)
+        assert abs(got["logit"][bag] - (z @ p["c"] + p["b"][0])) < 1e-3
+        at += n
+
+
+def test_gradients_are_those_of_small_differences():
+    rng = np.random.default_rng(23)
+    rows, n_pass, label = rng.standard_normal((9, 4)).astype(np.float32), np.array([2, 3, 1, 3]), np.array([0, 1, 1, 0])
+    steps = []
+    original = op7.Adam.step
+
+    def spy(self, grads):
+        steps.append(({k: v.copy() for k, v in self.params.items()}, {k: np.array(v) for k, v in grads.items()}))
+        original(self, grads)
+
+    op7.Adam.step = spy
+    try:
+        model = op7.train(rows, n_pass, label, 0.5, epochs=1, shrink=0.0)
+    finally:
+        op7.Adam.step = original
+    params, grads = steps[0]
+    x = ((rows - model.mean) / model.spread).astype(np.float32)
+
+    def loss(p: dict) -> float:
+        f = op7.QualityModel({k: v.astype(np.float64) for k, v in p.items()}, model.mean, model.spread).forward(x.astype(np.float64), n_pass)["logit"]
+        return float(np.logaddexp(0, np.where(label > 0, -f, f)).mean())
+
+    for name in params:
+        for at in ([0], [-1]) if params[name].ndim == 1 else ([0, 0], [-1, -1], [1, 2]):
+            moved = [{k: v.astype(np.float64) for k, v in params.items()} for _ in range(2)]
+            moved[0][name][tuple(at)] += 1e-4
+            moved[1][name][tuple(at)] -= 1e-4
+            assert abs((loss(moved[0]) - loss(moved[1])) / 2e-4 - grads[name][tuple(at)]) < 1e-3, name
+
+
+def test_the_risk_falls_as_written_out():
+    rng = np.random.default_rng(24)
+    positive = np.arange(120) < 30
+    bags = [np.unique(rng.integers(0, 20, 6)) if not p else np.unique(np.append(rng.integers(0, 20, 4), rng.integers(20, 24, 2))) for p in positive]
+    prior, known, shrink = 0.3, 0.2, 3e-4
+
+    def risk(weights: np.ndarray, bias: float) -> float:
+        total_p = total_n = total_u = 0.0
+        for bag, is_positive in zip(bags, positive, strict=True):
+            f = bias + sum(weights[k] for k in bag)
+            if is_positive:
+                total_p += np.log1p(np.exp(-f)) / 30
+                total_n += np.log1p(np.exp(f)) / 30
+            else:
+                total_u += np.log1p(np.exp(f)) / 90
+        whole = (1 - known) * total_u + known * total_n  # the mean over all text
+        return prior * total_p + max(0.0, whole - prior * total_n) + shrink / 2 * float(weights @ weights)
+
+    weights, bias = op10.train(bags, positive, 24, prior, known, epochs=600)
+    found = risk(weights, bias)
+    assert found < risk(np.zeros(24), np.log(prior / (1 - prior))) - 0.05
+    for _ in range(200):  # no point nearby is much better
+        step = rng.standard_normal(25) * 0.02
+        assert risk(weights + step[:24], bias + step[24]) > found - 2e-3
+
+
+def auc(score: np.ndarray, label: np.ndarray) -> float:
+    order = np.argsort(np.argsort(score))
+    n = int(label.sum())
+    return float((order[label > 0].sum() - n * (n - 1) / 2) / (n * (len(label) - n)))
+
+
+def test_held_out_accuracy_on_the_given_tables(spark):
+    """Learned and held to the driver's tables at 0.1, the rows that the queries hold out."""
+    sf = "/root/testdata/sf0.1"
+    truth = {r.doc_id: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    got = [r for r in op4.query(spark, sf).collect() if r.held_out and langs[r.doc_id] is not None and r.lang_pred != "und"]
+    right = np.mean([r.lang_pred == langs[r.doc_id] for r in got])
+    print(f"language, held out: {right:.4f} of {len(got)}")
+    assert right >= 0.98
+    quality = [(r.score, truth[r.doc_id].quality) for r in op7.query(spark, sf).collect() if r.held_out and r.doc_id in truth]
+    area = auc(*map(np.array, zip(*quality, strict=True)))
+    print(f"quality, held out: area {area:.4f} of {len(quality)}")
+    assert area >= 0.97
+    toxic = [(r.score, truth[r.doc_id].toxic) for r in op10.query(spark, sf).collect() if r.held_out and r.doc_id in truth]
+    area = auc(*map(np.array, zip(*toxic, strict=True)))
+    caught = np.mean([s >= op10.THRESHOLD for s, t in toxic if t])
+    print(f"toxicity, held out: area {area:.4f}, caught {caught:.3f} of {len(toxic)}")
+    assert area >= 0.93 and caught >= 0.85
