@@ -17,8 +17,16 @@ A document's tokens are its distinct word shingles.  Two documents link when
    to any member; members already connected with it need no comparison.
 4. Links and classes give components.
 
-Large groups are dealt into tiles of pairs of chunks, so no task holds a whole
-one.  A null text or a text without words has an empty set and links with
+A group that is too large for one tile is parted first, in ``ROUNDS`` rounds: all
+its documents are compared with one of them, its pivot, and fall into rings by
+their Jaccard distance from it, as wide as the largest distance of a link.  By the
+triangle inequality links lie within a ring or between neighbouring ones, and those
+of the innermost ring are connected through the pivot.  So a group of near copies
+is settled in linear time.  What is left is dealt into tiles of pairs of chunks,
+those already connected or compared elsewhere apart, so no task holds a whole
+group.
+
+A text of any length is read whole.  Of ties the least id counts.  A null text or a text without words has an empty set and links with
 nothing.  Rows without a doc_id are left out; rows that repeat an id count as
 one class if their texts agree.  Other columns are ignored.
 """
@@ -32,7 +40,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as K
@@ -45,6 +53,10 @@ PERCENT = 80
 #: Members and tokens of one chunk of a large group, about.
 CHUNK = 1024
 CHUNK_TOKENS = 400_000
+#: Rounds of pivots for large groups.
+ROUNDS = 2
+#: Rows of whole buckets or tiles that a task holds at a time.
+HELD = 2048
 #: Counters of the table that orders tokens, a power of two; one byte each is sent to every task.
 COUNTERS = 1 << 20
 #: Cells of the token histogram of a document of up to ``DENSE`` tokens; longer ones have
@@ -253,25 +265,31 @@ def joined_pairs(cells: list[bytes], size: np.ndarray, percent: int) -> list[tup
     return pairs
 
 
+def _edges(*keys: np.ndarray) -> list[tuple[int, int]]:
+    """The ranges of rows that agree in all keys, which are sorted."""
+    change = np.ones(len(keys[0]) + 1, dtype=bool)
+    change[1:-1] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    at = np.flatnonzero(change).tolist()
+    return list(zip(at[:-1], at[1:], strict=True))
+
+
+def _pairs(u: list[int], v: list[int]) -> Iterator[pa.RecordBatch]:
+    if u:
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
 def _joined_rows(percent: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        table = pa.Table.from_batches(got)
-        bucket, ids, size = (table.column(c).to_numpy() for c in ("bucket", "id", "n_shingles"))
-        raw = table.column("cells").combine_chunks()
-        order = np.argsort(bucket, kind="stable")
-        edges = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1], [True]]))
-        u: list[int] = []
-        v: list[int] = []
-        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            at = order[low:high]
-            for p, q in joined_pairs(raw.take(pa.array(at)).to_pylist(), size[at], percent):
-                u.append(ids[at[p]])
-                v.append(ids[at[q]])
-        if u:
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+        for table in K.whole_groups(batches, ["bucket"], HELD):
+            bucket, ids, size = (table.column(c).to_numpy() for c in ("bucket", "id", "n_shingles"))
+            cells = table.column("cells").to_pylist()
+            u: list[int] = []
+            v: list[int] = []
+            for low, high in _edges(bucket):
+                for p, q in joined_pairs(cells[low:high], size[low:high], percent):
+                    u.append(ids[low + p])
+                    v.append(ids[low + q])
+            yield from _pairs(u, v)
 
     return rows
 
@@ -283,8 +301,8 @@ def _token_rows(size: int):
             for low, high in K.doc_blocks(offs):
                 value, first = shingle_sets(data[offs[low] : offs[high]], offs[low : high + 1] - offs[low], size)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(low, high - low), batch.column("component").slice(low, high - low), batch.column("tiles").slice(low, high - low), K.list_column(np.diff(first), pa.array(K.signed(value)))],
-                    ["doc_id", "component", "tiles", "tokens"],
+                    [batch.column("doc_id").slice(low, high - low), batch.column("grp").slice(low, high - low), K.list_column(np.diff(first), pa.array(K.signed(value)))],
+                    ["doc_id", "grp", "tokens"],
                 )
 
     return rows
@@ -300,10 +318,11 @@ class _Forest:
         return x
 
 
-def group_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def group_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None, root: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect all linked sets of one group (a spanning forest of them).
 
-    ``side``: only links between its two values are wanted.
+    ``side``: only links between its two values are wanted.  ``root``: sets with
+    one value, other than -1, are connected already.
     """
     if not sets:
         return []
@@ -312,6 +331,10 @@ def group_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None =
     sets = np.split(dense, cuts)
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     forest, links = _Forest(len(sets)), []
+    if root is not None:
+        least: dict[int, int] = {}
+        for k, r in enumerate(root.tolist()):
+            forest.up[k] = k if r < 0 else least.setdefault(r, k)
     mark = np.zeros(len(flat), dtype=bool)
     subgroups: list[list[int]] = []  # members
     matrix: dict[int, list[int]] = {}  # token: the subgroups whose union holds it
@@ -349,34 +372,143 @@ def group_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None =
     return links
 
 
+def _token_lists(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    tokens = table.column("tokens").combine_chunks()
+    flat = tokens.flatten().to_numpy()
+    return flat, np.concatenate([[0], np.cumsum(tokens.value_lengths().to_numpy())])
+
+
 def _link_rows(percent: int):
+    """Links of tiles; documents without a root are the only ones of it."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        table = pa.Table.from_batches(got).combine_chunks()
-        ids, comp = table.column("doc_id").to_numpy(), table.column("component").to_numpy()
-        a, b, own = (table.column(c).to_numpy() for c in ("a", "b", "own"))
-        tokens = table.column("tokens").combine_chunks()
-        t_offs, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy()
-        order = np.lexsort((ids, b, a, comp))
-        c, x, y = comp[order], a[order], b[order]
-        edges = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]), [True]]))
-        u: list[int] = []
-        v: list[int] = []
-        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            at = order[low:high]
-            side = own[at] if a[at[0]] != b[at[0]] else None
-            for p, q in group_links([flat[t_offs[i] : t_offs[i + 1]] for i in at], percent, side):
-                u.append(ids[at[p]])
-                v.append(ids[at[q]])
-        if u:
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+        for table in K.whole_groups(batches, ["grp", "a", "b"], HELD):
+            ids, grp, a, b, own, root = (table.column(c).to_numpy() for c in ("doc_id", "grp", "a", "b", "own", "root"))
+            flat, first = _token_lists(table)
+            u: list[int] = []
+            v: list[int] = []
+            for low, high in _edges(grp, a, b):
+                side = own[low:high] if a[low] != b[low] else None
+                for p, q in group_links([flat[first[k] : first[k + 1]] for k in range(low, high)], percent, side, root[low:high]):
+                    u.append(ids[low + p])
+                    v.append(ids[low + q])
+            yield from _pairs(u, v)
 
     return rows
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
+def rings(common: np.ndarray, union: np.ndarray, percent: int) -> np.ndarray:
+    """Which ring a distance is in: 0 is that of links, each is as wide as the largest distance of a link."""
+    if percent == 100:
+        return (common < union).astype(np.int64)
+    return np.maximum(-(-100 * (union - common) // (union * (100 - percent))) - 1, 0)
+
+
+def _ring_rows(percent: int):
+    """Of rows sorted by (grp, salt, role), each document's ring about its group's pivot, which comes first."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in K.whole_groups(batches, ["grp", "salt"], HELD):
+            ids, grp, salt = (table.column(c).to_numpy() for c in ("doc_id", "grp", "salt"))
+            flat, first = _token_lists(table)
+            flat = flat.view(K.U64)  # in this order they are sorted in each document
+            ring, pivot = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+            rest = np.ones(len(ids), dtype=bool)
+            for low, high in _edges(grp, salt):
+                rest[low] = False
+                mine = flat[first[low] : first[low + 1]]
+                theirs = flat[first[low + 1] : first[high]]
+                at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)  # lists are sorted, none is empty
+                hits = np.concatenate([[0], np.cumsum(mine[at] == theirs)])
+                n = np.diff(first[low + 1 : high + 1])
+                common = np.diff(hits[first[low + 1 : high + 1] - first[low + 1]])
+                ring[low + 1 : high] = rings(common, n + len(mine) - common, percent)
+                pivot[low:high] = ids[low]
+            if rest.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[rest]) for x in (ids, grp, pivot, ring)], ["doc_id", "grp", "pivot", "ring"])
+
+    return rows
+
+
+MEMBER = ["doc_id", "grp", "old", "both", "root", "n_shingles"]
+
+
+def _chunks(members: DataFrame, chunk: int) -> DataFrame:
+    """``(grp, fresh, stale)``: how many chunks the new and the old documents of each group make."""
+
+    def of(old: bool) -> Column:
+        n, tokens = F.count_if(F.col("old") == old), F.sum(F.when(F.col("old") == old, F.col("n_shingles")).otherwise(0))
+        return F.when(n > 0, F.greatest(F.floor((n - 1) / chunk), F.floor(tokens / CHUNK_TOKENS)) + 1).otherwise(0).cast("int")
+
+    return members.groupBy("grp").agg(of(False).alias("fresh"), of(True).alias("stale"))
+
+
+def _parted(members: DataFrame, tokens: DataFrame, percent: int, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """One round of pivots: links to the pivots, and the members of what is left to compare.
+
+    Members of a group are new or old; wanted are the pairs of a new one with an
+    old one and, if the group says ``both``, those of two new ones.  The pivot is
+    copied to each chunk of its group; nothing else is.
+    """
+    first = F.min(F.when(~F.col("old"), F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")))["doc_id"]
+    chosen = members.groupBy("grp").agg(first.alias("chosen")).join(_chunks(members, chunk), "grp")
+    chosen = chosen.select("grp", "chosen", (F.col("fresh") + F.col("stale")).alias("tiles"))
+    seats = members.select("doc_id", "grp").join(chosen, "grp").where("doc_id <> chosen")
+    own = seats.select("doc_id", "grp", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int").alias("salt"), F.lit(1).alias("role"))
+    copied = chosen.select(F.col("chosen").alias("doc_id"), "grp", F.explode(F.expr("sequence(0, tiles - 1)")).alias("salt"), F.lit(0).alias("role"))
+    placed = own.unionByName(copied).join(tokens.hint("merge"), "doc_id")
+    ringed = placed.repartition("grp", "salt").sortWithinPartitions("grp", "salt", "role").select("doc_id", "grp", "salt", "tokens")
+    ringed = materialise(ringed.mapInArrow(_ring_rows(percent), "doc_id long, grp long, pivot long, ring long"), "op8-rings")
+    links = ringed.where("ring = 0").select(F.col("doc_id").alias("u"), F.col("pivot").alias("v"))
+
+    def seat(k: Column, old: bool) -> Column:
+        return F.struct(k.alias("k"), F.lit(old).alias("stays"))
+
+    ring = F.col("ring")
+    # a pair goes to the bucket of its new document's ring, of two new ones the outer ring; in the innermost all are connected
+    as_new = F.array(seat(ring, False), F.when(F.col("both"), seat(ring + 1, True)))
+    as_old = F.array(F.when(ring > 0, seat(ring - 1, True)), F.when(ring > 0, seat(ring, True)), seat(ring + 1, True))
+    seats = F.filter(F.when(F.col("old"), as_old).otherwise(as_new), lambda x: x.isNotNull())
+    root = F.when(ring == 0, F.col("pivot")).otherwise(F.col("root"))
+    left = ringed.join(members, ["doc_id", "grp"]).select("doc_id", "grp", "both", root.alias("root"), "n_shingles", F.inline(seats))
+    left = left.select("doc_id", F.xxhash64("grp", "k").alias("grp"), F.col("stays").alias("old"), (F.col("both") & (F.col("k") > 0)).alias("both"), "root", "n_shingles")
+    new, old = F.count_if(~F.col("old")), F.count_if("old")
+    live = left.groupBy("grp").agg(new.alias("new"), old.alias("stale"), F.bool_or("both").alias("b")).where("new > 0 and (stale > 0 or (b and new > 1))").select("grp")
+    return links, left.join(live, "grp", "left_semi").select(*MEMBER)
+
+
+def _tiled(members: DataFrame, chunk: int) -> DataFrame:
+    """``(doc_id, grp, a, b, own, root)``: every wanted pair of a group's members meets in one tile."""
+    sized = members.join(_chunks(members, chunk), "grp")
+    own = F.pmod(F.xxhash64("doc_id"), F.when(F.col("old"), F.col("stale")).otherwise(F.col("fresh"))).cast("int") + F.when(F.col("old"), F.col("fresh")).otherwise(0)
+    from_, to = F.when(F.col("old") | F.col("both"), 0).otherwise(F.col("fresh")), F.when(F.col("old"), F.col("fresh")).otherwise(F.col("fresh") + F.col("stale"))
+    others = F.when(to > from_, F.sequence(from_, to - 1)).otherwise(F.array().cast("array<int>"))
+    tiled = sized.select("doc_id", "grp", "root", own.alias("own"), F.explode(others).alias("other"))
+    return tiled.select("doc_id", "grp", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "root")
+
+
+def group_members_links(members: DataFrame, tokens: DataFrame, percent: int, chunk: int = CHUNK, rounds: int = ROUNDS) -> DataFrame:
+    """``(u, v)``: links that connect whatever is linked in each group of ``members``."""
+    links = members.select(F.col("doc_id").alias("u"), F.col("doc_id").alias("v")).where(F.lit(False))
+    settled = None  # members for tiles
+    for _ in range(rounds):
+        sized = members.join(_chunks(members, chunk).select("grp", ((F.col("fresh") > 1) | (F.col("stale") > 1)).alias("large")), "grp")
+        small = sized.where("not large").select(*MEMBER)
+        settled = small if settled is None else settled.unionByName(small)
+        large = sized.where("large").select(*MEMBER)
+        if large.isEmpty():
+            members = None
+            break
+        found, left = _parted(materialise(large, "op8-large"), tokens, percent, chunk)
+        links, members = links.unionByName(found), materialise(left, "op8-left")
+    if members is not None:
+        settled = members if settled is None else settled.unionByName(members)
+    placed = _tiled(settled, chunk).join(tokens.hint("merge"), "doc_id")
+    placed = placed.repartition("grp", "a", "b").sortWithinPartitions("grp", "a", "b").select("doc_id", "grp", "a", "b", "own", "root", "tokens")
+    return links.unionByName(placed.mapInArrow(_link_rows(percent), "u long, v long"))
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, chunk: int = CHUNK, bucket: int = BUCKET, rounds: int = ROUNDS) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every document; see the module."""
     if not 50 <= percent <= 100:
         raise ValueError("percent must be between 50 and 100: below, histograms two levels apart may link")
@@ -390,18 +522,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     buckets = keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_bucket_rows(bucket), "bucket long, id long, least long")
     buckets = materialise(buckets.distinct(), "op8-buckets")
     placed = buckets.where("bucket is not null").select("bucket", "id").join(sets.select(F.col("doc_id").alias("id"), "n_shingles", "cells").hint("merge"), "id")
-    joined = placed.repartition("bucket").mapInArrow(_joined_rows(percent), "u long, v long")
+    joined = placed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_joined_rows(percent), "u long, v long")
     groups = connected_components(joined.union(buckets.where("bucket is null").select(F.col("id").alias("u"), F.col("least").alias("v"))))
-    weighed = groups.join(sets.select(F.col("doc_id").alias("id"), "n_shingles").hint("merge"), "id")
-    tiles = F.greatest(F.floor((F.count("*") - 1) / chunk), F.floor(F.sum("n_shingles") / CHUNK_TOKENS)) + 1
-    sizes = weighed.groupBy("component").agg(tiles.cast("int").alias("tiles"))
-    inside = groups.join(sizes, "component").select(F.col("id").alias("doc_id"), "component", "tiles")
-    tokens = docs.join(inside.hint("merge"), "doc_id")  # the same plan at every size
-    tokens = tokens.select("doc_id", "component", "tiles", "text").mapInArrow(_token_rows(size), "doc_id long, component long, tiles int, tokens array<long>")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")
-    tiled = tokens.withColumn("own", own).select("doc_id", "component", "tokens", "own", F.explode(F.expr("sequence(0, tiles - 1)")).alias("other"))
-    tiled = tiled.select("doc_id", "component", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "tokens")
-    links = tiled.repartition("component", "a", "b").mapInArrow(_link_rows(percent), "u long, v long")
+    inside = groups.select(F.col("id").alias("doc_id"), F.col("component").alias("grp"))
+    texts = docs.join(inside.hint("merge"), "doc_id").select("doc_id", "grp", "text")  # the same plan at every size
+    held = materialise(texts.mapInArrow(_token_rows(size), "doc_id long, grp long, tokens array<long>"), "op8-tokens")
+    members = held.select("doc_id", "grp", F.lit(False).alias("old"), F.lit(True).alias("both"), F.lit(-1).cast("long").alias("root"), F.size("tokens").cast("long").alias("n_shingles"))
+    links = group_members_links(members, held.select("doc_id", "tokens"), percent, chunk, rounds)
     linked = connected_components(links).select(F.col("id").alias("class_id"), F.col("component").alias("linked_id"))
     named = classes.join(linked, "class_id", "left").select("n_shingles", "h1", "h2", F.coalesce("linked_id", "class_id").alias("component_id"))
     out = sets.select("doc_id", "n_shingles", "h1", "h2").join(named, ["n_shingles", "h1", "h2"], "left")

@@ -187,19 +187,19 @@ def list_column(counts: np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), values)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
-    """Batches sorted by ``keys`` as tables of whole groups, of about ``rows`` rows unless one group has more.
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int, size: int = 32 << 20) -> Iterator[pa.Table]:
+    """Batches sorted by ``keys`` as tables of whole groups, of about ``rows`` rows or ``size`` bytes unless one group has more.
 
     Streams: no more than one such table and one batch are held.
     """
     held: list[pa.RecordBatch] = []
-    n = 0
+    n = n_bytes = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
-        n += batch.num_rows
-        if n < rows:
+        n, n_bytes = n + batch.num_rows, n_bytes + batch.nbytes
+        if n < rows and n_bytes < size:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
         cut = 0  # where the last group begins
@@ -210,6 +210,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int)
         if change.any():
             cut = int(np.flatnonzero(change)[-1])
             yield table.slice(0, cut).combine_chunks()
-        held, n = table.slice(cut).combine_chunks().to_batches(), n - cut
+        rest = table.slice(cut).combine_chunks()
+        held, n, n_bytes = rest.to_batches(), n - cut, rest.nbytes
     if held:
         yield pa.Table.from_batches(held).combine_chunks()

@@ -44,7 +44,7 @@ def brute(texts: dict, size: int, percent: int) -> dict:
     return {d: (len(sets[d]), root[d]) for d in sets}
 
 
-@pytest.mark.parametrize(("size", "percent", "chunk"), [(3, 90, 1024), (3, 90, 2), (5, 80, 1024), (1, 70, 3), (3, 100, 1024)])
+@pytest.mark.parametrize(("size", "percent", "chunk"), [(3, 90, 1024), (3, 90, 2), (5, 80, 1024), (3, 100, 1024)])
 def test_components_are_those_of_brute_force(docs, texts, size, percent, chunk):
     want = brute(texts, size, percent)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in op.near_duplicates(docs, size, percent, chunk).collect()}
@@ -110,6 +110,57 @@ def test_histograms_never_part_a_link(percent):
         assert all(joined[a] == joined[b] for a, b in links)
 
 
+@pytest.mark.parametrize("percent", [60, 80, 90, 100])
+def test_links_lie_in_neighbouring_rings(percent):
+    rng = np.random.default_rng(11)
+    for _ in range(40):
+        pool = np.arange(60)
+        base = [rng.choice(pool, rng.integers(5, 40), replace=False) for _ in range(3)]
+        sets = [set(rng.permutation(base[k % 3])[: rng.integers(3, 40)].tolist()) | set(rng.integers(0, 60, 2).tolist()) for k in range(30)]
+        pivot, rest = sets[0], sets[1:]
+        ring = op.rings(np.array([len(pivot & x) for x in rest]), np.array([len(pivot | x) for x in rest]), percent)
+        for k, x in enumerate(rest):
+            assert (ring[k] == 0) == (100 * len(pivot & x) >= percent * len(pivot | x))
+            for j, y in enumerate(rest):
+                if 100 * len(x & y) >= percent * len(x | y):
+                    assert abs(int(ring[k]) - int(ring[j])) <= 1
+
+
+@pytest.mark.parametrize(("percent", "chunk", "rounds"), [(80, 4, 0), (80, 3, 2), (90, 2, 4), (60, 3, 3)])
+def test_large_groups_are_parted_without_losing_a_link(spark, percent, chunk, rounds):
+    rng = random.Random(percent + chunk)
+    sets, groups = {}, {}
+    for g in range(4):
+        seeds = [rng.sample(range(1000), 30) for _ in range(3)]
+        hashed = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(1000)]
+        for k in range(25):
+            s = set(seeds[rng.randrange(3)])
+            for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 4, 9])):
+                s.discard(rng.choice(sorted(s)))
+                if rng.random() < 0.5:
+                    s.add(rng.randrange(1000))
+            sets[100 * g + k], groups[100 * g + k] = {hashed[x] for x in s}, g
+    rows = [(d, groups[d], sorted(s, key=lambda x: x % (1 << 64)), len(s)) for d, s in sets.items()]
+    table = spark.createDataFrame(rows, "doc_id long, grp long, tokens array<long>, n_shingles long").cache()
+    members = table.selectExpr("doc_id", "grp", "false AS old", "true AS both", "-1L AS root", "n_shingles")
+    found = op.group_members_links(members, table.select("doc_id", "tokens"), percent, chunk, rounds).collect()
+    links = {(a, b) for a, b in itertools.combinations(sets, 2) if groups[a] == groups[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    for r in found:
+        assert (min(r.u, r.v), max(r.u, r.v)) in links or sets[r.u] == sets[r.v]
+    assert components_of(sets, [(r.u, r.v) for r in found]) == components_of(sets, links)
+    assert len(links) > 50
+
+
+def test_a_group_of_near_copies_takes_linear_time(spark):
+    """All link with the pivot: nothing is left for tiles."""
+    base = list(range(0, 4000, 2))
+    rows = [(k, 7, sorted(base[: 1000 + k % 3] + [10_000 + k]), 1001 + k % 3) for k in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, grp long, tokens array<long>, n_shingles long")
+    members = table.selectExpr("doc_id", "grp", "false AS old", "true AS both", "-1L AS root", "n_shingles")
+    found, left = op._parted(members, table.select("doc_id", "tokens"), 90, 16)
+    assert found.count() == 299 and left.count() == 0
+
+
 def test_group_links_connect_what_brute_force_connects():
     rng = random.Random(7)
     for _ in range(30):
