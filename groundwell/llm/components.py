@@ -2,8 +2,10 @@
 
 Large-star and small-star steps (Kiveris et al., "Connected Components in
 MapReduce and Beyond", 2014).  Each round is a few joins and map-side combined
-minima on the edges; no vertex's neighbourhood is ever gathered in one task,
-and each round is written to the shared folder.
+minima on the edges.  No vertex's neighbourhood is held as a list; in the join of
+the edges with the minima those of a hub are one key, which Spark's adaptive
+skew join splits.  Each round is written to the shared folder, and the one before
+it is deleted.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import remove, written
 
 MAX_ROUNDS = 60
 
@@ -40,13 +42,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Vertices without edges do not appear; self-loops and nulls are ignored, and
     an empty edge table gives an empty result.
     """
-    now = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
+    now, path = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     seen = _mark(now)
     for _ in range(MAX_ROUNDS):
         if seen[0] == 0:
             break
-        now = materialise(_small_star(_large_star(now)), "cc")
+        before = path
+        now, path = written(_small_star(_large_star(now)), "cc")
         mark = _mark(now)
+        remove(now.sparkSession, before)
         if mark == seen:
             break
         seen = mark

@@ -178,6 +178,26 @@ def test_connected_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_rounds_are_deleted_and_a_cluster_needs_a_shared_folder(spark, tmp_path, monkeypatch):
+    from groundwell.llm import components, storage
+
+    monkeypatch.setattr(storage, "shared_dir", lambda spark: f"file://{tmp_path}")
+    chain = [(k, k + 1) for k in range(200)]
+    assert {r.component for r in components.connected_components(spark.createDataFrame(chain, "u long, v long")).collect()} == {0}
+    assert len(list(tmp_path.iterdir())) == 1
+    monkeypatch.undo()
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(Cluster)
+
+
 def test_odd_ids_and_empty_tables(odd_docs, no_docs):
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in op.near_duplicates(odd_docs).collect())
     assert got == [(1, 76, 1), (1, 76, 1), (2, 0, 2), (3, 1, 3), (3, 1, 3)]
