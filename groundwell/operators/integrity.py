@@ -34,7 +34,7 @@ def card_row_counts(t: Tables) -> DataFrame:
 _NAMES = "(" + ", ".join(f"'{n}'" for n in TABLES) + ")"
 
 
-@query("card_tables", f"SELECT table_name, CAST(count(*) AS INTEGER) AS n_columns FROM information_schema.columns WHERE table_name IN {_NAMES} GROUP BY table_name")
+@query("card_tables", f"SELECT table_name, CAST(count(DISTINCT column_name) AS INTEGER) AS n_columns FROM information_schema.columns WHERE table_name IN {_NAMES} GROUP BY table_name")
 def card_tables(t: Tables) -> DataFrame:
     """The catalog listing, from the tables' own schemas."""
     return _values(t, [(n, len(getattr(t, n).columns)) for n in sorted(TABLES)], "table_name string, n_columns int")
@@ -76,7 +76,7 @@ def _edges_of(n: str) -> list[ForeignKey]:
 
 @query(
     "card_structure_digest",
-    "SELECT c.table_name AS table_name, sha256(concat(string_agg(c.column_name, ',' ORDER BY c.ordinal_position), any_value(v.rest))) AS digest FROM information_schema.columns c JOIN (VALUES "
+    "SELECT c.table_name AS table_name, sha256(concat(string_agg(c.column_name, ',' ORDER BY c.ordinal_position), any_value(v.rest))) AS digest FROM (SELECT DISTINCT table_name, column_name, ordinal_position FROM information_schema.columns) c JOIN (VALUES "
     + ", ".join(f"('{n}', '{schema.structure([], PRIMARY_KEYS.get(n, ()), _edges_of(n))}')" for n in TABLES)
     + ") v(table_name, rest) ON v.table_name = c.table_name GROUP BY c.table_name",
 )
