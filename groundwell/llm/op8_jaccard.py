@@ -451,9 +451,9 @@ def _parted(members: DataFrame, tokens: DataFrame, percent: int, chunk: int) ->
     copied to each chunk of its group; nothing else is.
     """
     first = F.min(F.when(~F.col("old"), F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")))["doc_id"]
-    chosen = members.groupBy("grp").agg(first.alias("chosen")).join(_chunks(members, chunk), "grp")
+    chosen = members.groupBy("grp").agg(first.alias("chosen")).join(_chunks(members, chunk), "grp")  # one row a group each
     chosen = chosen.select("grp", "chosen", (F.col("fresh") + F.col("stale")).alias("tiles"))
-    seats = members.select("doc_id", "grp").join(chosen, "grp").where("doc_id <> chosen")
+    seats = members.select("doc_id", "grp").join(chosen.hint("merge"), "grp").where("doc_id <> chosen")  # merge joins of hot groups can be split
     own = seats.select("doc_id", "grp", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int").alias("salt"), F.lit(1).alias("role"))
     copied = chosen.select(F.col("chosen").alias("doc_id"), "grp", F.explode(F.expr("sequence(0, tiles - 1)")).alias("salt"), F.lit(0).alias("role"))
     placed = own.unionByName(copied).join(tokens.hint("merge"), "doc_id")
@@ -474,12 +474,12 @@ def _parted(members: DataFrame, tokens: DataFrame, percent: int, chunk: int) ->
     left = left.select("doc_id", F.xxhash64("grp", "k").alias("grp"), F.col("stays").alias("old"), (F.col("both") & (F.col("k") > 0)).alias("both"), "root", "n_shingles")
     new, old = F.count_if(~F.col("old")), F.count_if("old")
     live = left.groupBy("grp").agg(new.alias("new"), old.alias("stale"), F.bool_or("both").alias("b")).where("new > 0 and (stale > 0 or (b and new > 1))").select("grp")
-    return links, left.join(live, "grp", "left_semi").select(*MEMBER)
+    return links, left.join(live.hint("merge"), "grp", "left_semi").select(*MEMBER)
 
 
 def _tiled(members: DataFrame, chunk: int) -> DataFrame:
     """``(doc_id, grp, a, b, own, root)``: every wanted pair of a group's members meets in one tile."""
-    sized = members.join(_chunks(members, chunk), "grp")
+    sized = members.join(_chunks(members, chunk).hint("merge"), "grp")
     own = F.pmod(F.xxhash64("doc_id"), F.when(F.col("old"), F.col("stale")).otherwise(F.col("fresh"))).cast("int") + F.when(F.col("old"), F.col("fresh")).otherwise(0)
     from_, to = F.when(F.col("old") | F.col("both"), 0).otherwise(F.col("fresh")), F.when(F.col("old"), F.col("fresh")).otherwise(F.col("fresh") + F.col("stale"))
     others = F.when(to > from_, F.sequence(from_, to - 1)).otherwise(F.array().cast("array<int>"))
@@ -492,7 +492,7 @@ def group_members_links(members: DataFrame, tokens: DataFrame, percent: int, chu
     links = members.select(F.col("doc_id").alias("u"), F.col("doc_id").alias("v")).where(F.lit(False))
     settled = None  # members for tiles
     for _ in range(rounds):
-        sized = members.join(_chunks(members, chunk).select("grp", ((F.col("fresh") > 1) | (F.col("stale") > 1)).alias("large")), "grp")
+        sized = members.join(_chunks(members, chunk).select("grp", ((F.col("fresh") > 1) | (F.col("stale") > 1)).alias("large")).hint("merge"), "grp")
         small = sized.where("not large").select(*MEMBER)
         settled = small if settled is None else settled.unionByName(small)
         large = sized.where("large").select(*MEMBER)
