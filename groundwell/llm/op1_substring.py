@@ -7,8 +7,10 @@ starts anywhere else, in the same document or another, is removed.
 1. Winnowing picks from every window the position of its least ``GRAM``-word
    hash (its *anchor*).  Equal windows pick equal anchors, so only anchors whose
    hash is seen twice can hold recurring windows.
-2. Every recurring anchor occurrence ships the words of the windows that it
-   anchors to the shard of its hash.  Hot anchors are dealt over several salts.
+2. Anchors are counted, combined before the shuffle.  Every occurrence of one that
+   recurs ships the words of the windows that it anchors to the shard of its hash;
+   anchors of more than ``SALT_ROWS`` occurrences are dealt over as many salts as
+   that takes.
 3. A shard confirms the windows that recur, compiles Aho-Corasick automata of
    confirmed passages (word ids as symbols) and streams all its contexts
    through them to locate every occurrence.
@@ -41,8 +43,6 @@ WINDOW = 35
 GRAM = 8
 #: Contexts of one anchor that go to one shard.
 SALT_ROWS = 2048
-#: Occurrences in one batch from which an anchor's rows stand apart.
-HOT = 32
 #: Contexts compiled into one automaton; bounds its memory.
 SHARD_ROWS = 12_000
 
@@ -56,100 +56,20 @@ def _window_anchors(words: K.Words, window: int, gram: int) -> tuple[np.ndarray,
     return start[whole], at[whole], grams
 
 
-PLAIN, APART, NOTICE = range(3)
-
-
-def _anchor_rows(window: int, gram: int, hot: int):
-    """Anchor occurrences, by a key that groups them.
-
-    The key is the anchor's hash; but an anchor seen ``hot`` times or more in
-    one batch is known to recur: its rows stand apart under a key of their own,
-    and one notice goes to the anchor's key.  So a hot anchor brings less than
-    ``hot`` rows a batch to its key.
-    """
+def _anchor_rows(window: int, gram: int):
+    """Anchor occurrences: the anchor's hash and where it is."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = K.text_bytes(batch.column("text"))
             ids, marks = (batch.column(c).to_numpy() for c in ("doc_id", "mark"))
-            parts = []
             for low, high in K.doc_blocks(offs):
                 words = K.split_words(data[offs[low] : offs[high]], offs[low : high + 1] - offs[low])
                 _, at, grams = _window_anchors(words, window, gram)
                 at = at[np.diff(at, prepend=-1) != 0]
                 doc = words.doc[at]
-                parts.append((grams[at], ids[low + doc], marks[low + doc], (at - words.first[doc]).astype(np.int32)))
-            if not parts or not sum(len(p[0]) for p in parts):
-                continue
-            key, doc, mark, pos = (np.concatenate(p) for p in zip(*parts, strict=True))
-            new, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-            apart = count[inverse] >= hot
-            seed = K.combine(doc[:1].view(K.U64), mark[:1].view(K.U64))  # another one for each batch
-            known = new[count >= hot]
-            n = len(known)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(K.signed(np.concatenate([np.where(apart, K.combine(key, np.broadcast_to(seed, key.shape)), key), known]))),
-                    pa.array(np.concatenate([np.where(apart, APART, PLAIN), np.full(n, NOTICE)]).astype(np.int32)),
-                    *[pa.array(np.concatenate([x, np.zeros(n, x.dtype)])) for x in (doc, mark, pos)],
-                ],
-                ["key", "kind", "doc_id", "mark", "pos"],
-            )
-
-    return rows
-
-
-def _recurring(salt_rows: int):
-    """Of rows sorted by key, those whose anchor occurs twice or more, dealt over salts.
-
-    Streams: at most ``salt_rows`` rows of one key are held back.  ``split``
-    rows belong to an anchor that has rows elsewhere too.
-    """
-
-    def emit(table: pa.Table, before: int) -> Iterator[pa.RecordBatch]:
-        """``before``: rows of the leading key that went out earlier."""
-        if not table.num_rows:
-            return
-        key, kind = table.column("key").to_numpy(), table.column("kind").to_numpy()
-        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(new, len(key)))
-        rank = np.arange(len(key)) - np.repeat(new, size)
-        noticed = np.repeat(kind[new] != PLAIN, size)  # notices are sorted first
-        size = np.repeat(size, size)
-        lead = key == key[0]
-        rank[lead] += before
-        size[lead] += before
-        keep = (size > 1) & (kind != NOTICE)
-        if keep.any():
-            part = table.filter(pa.array(keep)).combine_chunks()
-            salt = rank[keep] // salt_rows + np.where(kind[keep] == APART, (key[keep] & 0x3FFFFFFF) + 1, 0)
-            yield pa.RecordBatch.from_arrays(
-                [*[part.column(c).combine_chunks() for c in ("doc_id", "mark", "pos")], pa.array(salt.astype(np.int32)), pa.array((size[keep] > salt_rows) | noticed[keep])],
-                ["doc_id", "mark", "pos", "salt", "split"],
-            )
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None  # rows of the last key that wait
-        last, sent = None, 0  # rows of the last key that went out
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([held, table]).combine_chunks() if held is not None else table
-            key = table.column("key").to_numpy()
-            if key[0] != last:
-                sent = 0
-            tail = int(np.searchsorted(key, key[-1]))
-            if tail:
-                yield from emit(table.slice(0, tail), sent)
-                sent = 0
-            held, last = table.slice(tail), key[-1]
-            if held.num_rows + sent > salt_rows:
-                yield from emit(held, sent)
-                sent += held.num_rows
-                held = None
-        if held is not None:
-            yield from emit(held, sent)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(K.signed(grams[at])), pa.array(ids[low + doc]), pa.array(marks[low + doc]), pa.array((at - words.first[doc]).astype(np.int32))], ["key", "doc_id", "mark", "pos"])
 
     return rows
 
@@ -272,7 +192,7 @@ def _located(kind: int, doc: np.ndarray, mark: np.ndarray, start: np.ndarray, h1
     )
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, salt_rows: int = SALT_ROWS, shard_rows: int = SHARD_ROWS, hot: int = HOT) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, salt_rows: int = SALT_ROWS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``(doc_id, mark, start)`` of windows that together cover all recurring ones.
 
     ``start`` counts words; each row stands for ``window`` words from there.
@@ -280,8 +200,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, sa
     if not 1 <= gram <= window or window < 2:
         raise ValueError("gram must be between 1 and window, window at least 2")
     docs = _marked(docs)
-    anchors = docs.mapInArrow(_anchor_rows(window, gram, hot), "key long, kind int, doc_id long, mark long, pos int")
-    recurring = anchors.repartition("key").sortWithinPartitions("key", F.desc("kind")).mapInArrow(_recurring(salt_rows), "doc_id long, mark long, pos int, salt int, split boolean")
+    anchors = docs.mapInArrow(_anchor_rows(window, gram), "key long, doc_id long, mark long, pos int")
+    counts = anchors.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    salt = F.pmod(F.xxhash64("doc_id", "mark", "pos"), F.ceil(F.col("n") / salt_rows)).cast("int")
+    recurring = anchors.join(counts, "key").select("doc_id", "mark", "pos", salt.alias("salt"), (F.col("n") > salt_rows).alias("split"))
     hits = recurring.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("pos", "salt", "split"))).alias("hits"))
     contexts = docs.join(hits, ["doc_id", "mark"]).select("doc_id", "mark", "text", "hits").mapInArrow(_context_rows(window, gram), "anchor long, salt int, split boolean, doc_id long, mark long, first int, context binary")
     shards = contexts.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")

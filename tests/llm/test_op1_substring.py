@@ -29,7 +29,7 @@ def brute(texts: dict, window: int) -> dict:
 
 @pytest.mark.parametrize(
     ("window", "options"),
-    [(35, {}), (35, {"salt_rows": 3, "shard_rows": 20, "hot": 2}), (35, {"hot": 4, "salt_rows": 2}), (4, {"gram": 2, "salt_rows": 5, "hot": 6}), (8, {"gram": 8})],
+    [(35, {}), (35, {"salt_rows": 3, "shard_rows": 20}), (35, {"salt_rows": 1}), (4, {"gram": 2, "salt_rows": 5}), (8, {"gram": 8})],
 )
 def test_removed_words_are_those_of_brute_force(docs, texts, window, options):
     got = {r.doc_id: (r.n_words, r.n_removed, bytes(r.kept).decode()) for r in op.remove_repeats(docs, window, **options).collect()}
@@ -43,7 +43,7 @@ def test_odd_ids_and_empty_tables(odd_docs, no_docs):
     assert op.remove_repeats(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("options", [{}, {"salt_rows": 3, "hot": 2, "shard_rows": 5}])
+@pytest.mark.parametrize("options", [{}, {"salt_rows": 1, "shard_rows": 5}])
 def test_rows_that_repeat_an_id_are_documents_of_their_own(spark, options):
     shared, other = [f"w{k}" for k in range(50)], [f"v{k}" for k in range(70)]
     rows = [
